@@ -11,6 +11,7 @@ threshold; the result is each document's connected component under those links.
     MAX_MATCH) of least estimated cost: the postings it meets plus the expected verifications, which
     fall as 1/l because a candidate must share l shingles.  Its prefix has that length; a pair goes
     by the smaller l of the two.
+    Beyond that, a pair's matches must make up what its sizes ask for above the suffixes' length.
 4.  Prefix postings travel packed (arrays, not rows) to buckets of the shingle hash.  In lists of at
     most SMALL members all pairs count one match each.  In wider lists each member is only paired
     with a few pivots, the members with the most frequent shingles; whole lists come back in step 6.
@@ -228,8 +229,8 @@ def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pair (x, y) with its matches here and l.  kind 1: pair of a wide list with a pivot.
-    kind 2: member (list x, node y) of a wide list, with n, l, section and centrality."""
+    """kind 0: pair (x, y) with its matches here, l and both set sizes.  kind 1: pair of a wide list with a
+    pivot.  kind 2: member (list x, node y) of a wide list, with n, l, section and centrality."""
 
     def run(batches):
         got = [np.frombuffer(x, POSTING) for b in batches for x in b.column("p").to_pylist()]
@@ -242,7 +243,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         p = p[np.concatenate([[True], ~(same & (p["sig"][1:] == p["sig"][:-1]))])]
         starts = np.flatnonzero(np.concatenate([[True], (p["h"][1:] != p["h"][:-1]) | (p["salt"][1:] != p["salt"][:-1])]))
         lens = np.diff(np.append(starts, len(p)))
-        xs, ys, ls, kinds = [], [], [], []
+        xs, ys, ls, kinds, nx, ny = [], [], [], [], [], []
 
         def add(a, b, kind):
             ok = _fits(a, b, percent)
@@ -250,6 +251,9 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             xs.append(np.minimum(a["sig"], b["sig"]))
             ys.append(np.maximum(a["sig"], b["sig"]))
             ls.append(np.minimum(a["l"], b["l"]))
+            first = a["sig"] < b["sig"]
+            nx.append(np.where(first, a["n"], b["n"]))
+            ny.append(np.where(first, b["n"], a["n"]))
             kinds.append(np.full(len(a), kind, np.int8))
 
         for m in range(2, SMALL + 1):
@@ -263,13 +267,13 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             for i in rank[:PIVOTS]:
                 add(np.repeat(g[i : i + 1], m), g, 1)
         if xs:
-            x, y, l, kind = (np.concatenate(v) for v in (xs, ys, ls, kinds))
+            x, y, l, kind, n_x, n_y = (np.concatenate(v) for v in (xs, ys, ls, kinds, nx, ny))
             if len(x):
                 by = np.lexsort((kind, y, x))
-                x, y, l, kind = x[by], y[by], l[by], kind[by]
+                x, y, l, kind, n_x, n_y = x[by], y[by], l[by], kind[by], n_x[by], n_y[by]
                 new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (kind[1:] != kind[:-1])]))
                 count = np.diff(np.append(new, len(x)))
-                yield from _out(kind[new], x[new], y[new], count, l[new])
+                yield from _out(kind[new], x[new], y[new], count, l[new], n_x[new], n_y[new])
         wide = np.repeat(lens > SMALL, lens)
         if wide.any() or (p["salt"] > 0).any():
             g = p[wide | (p["salt"] > 0)]
@@ -339,7 +343,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     order = spark.sparkContext.broadcast(_frequent(both.where("hot IS NOT NULL").select("hot", "hot_n"), buckets))
     made = C.cut(_candidates(_postings(docs, order, percent, size, buckets), percent))
 
-    small = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l")).where("c >= l")
+    # All that two sets share beyond the shorter-reaching prefix lies in one suffix of tau - l shingles, so a
+    # pair needs as many matches as its overlap must exceed that by.  Pairs that also meet in a wide list
+    # have matches that are not counted here; the wide lists find them.
+    tau = f"ceil({percent} * greatest(nx, ny) / 100)"
+    small = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
+    small = small.where(f"c >= greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)")
     pairs = C.cut(small.select("x", "y").union(made.where("kind = 1").select("x", "y")).distinct())
     links = C.cut(_verify(docs, digest, pairs, percent, size))
     roots = C.cut(C.components(links.toDF("a", "b")))
