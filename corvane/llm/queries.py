@@ -13,5 +13,50 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.sharding import shuffle_into_shards
+
+    # Only what the result shows is carried: the size and checksum of a text stand for it.
+    digest = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CAST(coalesce(octet_length(text), 0) + 1 AS BIGINT) AS size", "crc32(CAST(coalesce(text, '') AS BINARY)) AS text_crc32"
+    )
+    return shuffle_into_shards(digest, 8).selectExpr(
+        "doc_id", "size", "text_crc32", "'rows' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard"
+    )
+
+
+def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.topk import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_hypergeometric_sharding, op6_sequence_packing, op8_token_counts, op10_exact_topk)}
+_INTS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+ORACLES: dict[str, str] = {
+    "op10_exact_topk": f"""
+        WITH v AS (SELECT vec_id, {_INTS} AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id,
+                     CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+              FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
