@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from corvane.llm import common as C
 
-SENTENCE, HARD, SEQUENCE, STEP = 2, 16, 4, 64
+SENTENCE, HARD, SEQUENCE, STEP = 1, 4, 16, 16
 SOLVE = 200_000
 _HALVES = 2  # powers of two below the window that are tried
 
