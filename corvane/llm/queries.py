@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.ngram_join import near_duplicates
 
@@ -41,6 +47,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.line_dedup import repeated_runs
+
+    return repeated_runs(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.topk import search
 
@@ -48,7 +60,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op5_hypergeometric_sharding, op6_sequence_packing, op8_token_counts, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op5_hypergeometric_sharding, op6_sequence_packing, op8_token_counts, op9_line_dedup, op10_exact_topk)}
 _INTS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
 ORACLES: dict[str, str] = {
     "op10_exact_topk": f"""
