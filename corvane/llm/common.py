@@ -158,6 +158,18 @@ def signature(ids: np.ndarray) -> int:
     return int(s.view(np.int64)[0])
 
 
+#: Rows of an Arrow batch: with whole texts in them, this bounds a Python worker's memory.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches of this session small enough for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
     context = spark.sparkContext
@@ -241,7 +253,7 @@ def split_by_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> tupl
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def components(edges: DataFrame) -> DataFrame:

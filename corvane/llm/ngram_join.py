@@ -89,7 +89,7 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
                     held.append(ids)
                     weight += len(ids)
             counts = None
-            if weight > 4_000_000:
+            if weight > 2_000_000:
                 counts, weight = repeated(), 0
             yield out(b.column(0), ns.tolist(), sigs.tolist(), counts)
         if counts := repeated():
@@ -214,7 +214,7 @@ def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) ->
                     p["salt"] = np.where(c > LIST_SHARE, 1 + (sig % 251) % np.clip(c // LIST_SHARE, 1, 250), 0)
                 held.append(p)
                 weight += len(h)
-            if weight > 1_500_000:
+            if weight > 500_000:
                 yield flush()
                 weight = 0
         if held:
@@ -295,30 +295,33 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
     """The pairs (x, y) whose sets are similar enough, by merging the whole sets."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-    # One document stands for each set.  Only those are read again, told by a bounded filter.
-    keepers = C.cut(digest.where("n > 0 AND doc_id IS NOT NULL").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    # One document stands for each set.  Only those are read again, told by a bounded filter; the few others
+    # that pass it find no pair, or repeat one.
+    keepers = digest.where("n > 0 AND doc_id IS NOT NULL").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     bloom = spark.sparkContext.broadcast(C.bloom_of(keepers.select("doc_id")))
 
     def sets(batches):
         bits = C.bloom_bits(bloom.value)
+        seen: set[int] = set()
         for b in batches:
             ids = b.column(0)
             hit = C.bloom_has(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(hit))
             raw, at = C.text_buffer(b.column(1))
-            doc_id = b.column(0).to_pylist()
             rows, weight = [], 0
-            for r, s in C.shingle_sets(raw, at, size):
-                if len(s):
-                    rows.append((doc_id[r], C.signature(s), s.tobytes()))
-                    weight += s.nbytes
+            for _, s in C.shingle_sets(raw, at, size):
+                if not len(s) or (sig := C.signature(s)) in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(sig)
+                rows.append((sig, s.tobytes()))
+                weight += s.nbytes
                 if weight > 8 << 20:
-                    yield _rows(rows, "doc_id sig ids", [pa.int64(), pa.int64(), pa.binary()])
+                    yield _rows(rows, "sig ids", [pa.int64(), pa.binary()])
                     rows, weight = [], 0
-            yield _rows(rows, "doc_id sig ids", [pa.int64(), pa.int64(), pa.binary()])
+            yield _rows(rows, "sig ids", [pa.int64(), pa.binary()])
 
-    found = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, sig long, ids binary")
-    found = C.cut(found.join(keepers, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]).select("sig", "ids"))
+    found = C.cut(docs.select("doc_id", "text").mapInArrow(sets, "sig long, ids binary"))
 
     def test(batches):
         for b in batches:
@@ -347,8 +350,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     # pair needs as many matches as its overlap must exceed that by.  Pairs that also meet in a wide list
     # have matches that are not counted here; the wide lists find them.
     tau = f"ceil({percent} * greatest(nx, ny) / 100)"
-    small = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
-    small = small.where(f"c >= greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)")
+    enough = f"c >= greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)"
+    matches = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
+    small = matches.where(enough)
     pairs = C.cut(small.select("x", "y").union(made.where("kind = 1").select("x", "y")).distinct())
     links = C.cut(_verify(docs, digest, pairs, percent, size))
     roots = C.cut(C.components(links.toDF("a", "b")))
@@ -365,7 +369,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         else:
             met = member.join(member.select("h", *(F.col(c).alias(f"{c}2") for c in ("root", "sig", "n", "l", "s"))), "h").where("root < root2")
         met = met.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND greatest(s, s2) <= least(l, l2)")
-        met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
+        if not last:
+            met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
+        else:  # all lists that hold both are open, so with the small lists' matches the count is whole
+            turned = F.col("sig") < F.col("sig2")
+            met = met.select(
+                F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y"), F.lit(1).cast("long").alias("c"), F.least("l", "l2").alias("l"),
+                F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("nx"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("ny"),
+            )
+            met = met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+            rest = matches.select("x", "y", F.col("c").alias("c2"))
+            met = met.join(rest, ["x", "y"], "left").withColumn("c", F.col("c") + F.coalesce("c2", F.lit(0))).where(enough).select("x", "y")
         more = C.cut(met.join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             continue
