@@ -19,6 +19,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corvane.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out), "toxic")
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import fit, grade
+
+    docs = table(spark, sf_dir, "documents")
+    return grade(docs, fit(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
 def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.sharding import shuffle_into_shards
 
@@ -39,6 +57,13 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.lm_score import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(table(spark, sf_dir, "conversations"), docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +85,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op5_hypergeometric_sharding, op6_sequence_packing, op8_token_counts, op9_line_dedup, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_hypergeometric_sharding, op6_sequence_packing, op7_lm_scoring, op8_token_counts, op9_line_dedup, op10_exact_topk)}
 _INTS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
 ORACLES: dict[str, str] = {
     "op10_exact_topk": f"""

@@ -6,8 +6,10 @@ one letter.  So positions in the folded text are positions in the text.  A match
 digit of the text stands right before or after it, and it is not inside an exception phrase (a lexicon word
 with a neighbour that the training rows show to be harmless).
 
-The lexicon and its weights are learnt: words whose presence speaks for label 1 by a smoothed log-odds of
-LEAST_ODDS or more, over SUPPORT or more documents of label 1.  The score is a logistic function of the
+The lexicon and its weights are learnt.  An entry is a whole word or a stem (the first STEM letters of words).
+It speaks for label 1 by the log-ratio of its smoothed rates, per word of text, in the documents of either
+label: LEAST_ODDS or more, over SUPPORT or more documents of label 1.  A longer stem or a word is left out
+where a stem of it says as much.  Where several entries match at one place, the heaviest counts.  The score is a logistic function of the
 weighted matches and of the same normalised by length (per 100 words).
 """
 
@@ -33,7 +35,9 @@ LOOKALIKES = {
 }
 INVISIBLE = re.compile("[­̀-ͯ​-‏⁠﻿]")
 
-MAX_LABELLED, SUPPORT, LEAST_ODDS, MAX_WORDS = 20_000, 8, 3.0, 512
+MAX_LABELLED, SUPPORT, LEAST_ODDS, MAX_WORDS = 20_000, 8, 2.0, 512
+STEM = range(4, 10)
+EDGES = ".,;:!?\"'()[]*#%&$|-"
 _WORD = re.compile(r"[^\s]+")
 
 
@@ -58,21 +62,36 @@ class Lexicon:
         self.table, self.weights = Fold(), model["weights"]
         self.before, self.after = set(model["before"]), set(model["after"])
         self.a = ahocorasick.Automaton()
+        for word in self.weights:  # a stem ends in "*"
+            self.a.add_word(word.rstrip("*"), [])
         for word in self.weights:
-            self.a.add_word(word, (word, len(word)))
+            self.a.get(word.rstrip("*")).append(word)
         if self.weights:
             self.a.make_automaton()
         self.coefficients = model["coefficients"]
 
     def matches(self, text: str) -> list[tuple[str, int, int]]:
         """(lexicon word, start, end) of each match that counts, before exceptions."""
-        out = []
+        best: dict[int, tuple[float, str, int]] = {}
         if self.weights:
-            for end, (word, n) in self.a.iter(fold(text, self.table)):
-                start, end = end - n + 1, end + 1
-                if (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum()):
-                    out.append((word, start, end))
-        return out
+            for last, entries in self.a.iter(fold(text, self.table)):
+                end = last + 1
+                for word in entries:
+                    start = end - len(word.rstrip("*"))
+                    if (start == 0 or not text[start - 1].isalnum()) and (word[-1] == "*" or end == len(text) or not text[end].isalnum()):
+                        best[start] = max(best.get(start, (0.0, "", 0)), (self.weights[word], word, end))
+        return [(word, start, end) for start, (_, word, end) in best.items()]
+
+    def entries(self, text: str) -> dict[str, int]:
+        """How often each entry occurs, nested ones too."""
+        found: dict[str, int] = {}
+        for last, entries in self.a.iter(fold(text, self.table)):
+            end = last + 1
+            for word in entries:
+                start = end - len(word.rstrip("*"))
+                if (start == 0 or not text[start - 1].isalnum()) and (word[-1] == "*" or end == len(text) or not text[end].isalnum()):
+                    found[word] = found.get(word, 0) + 1
+        return found
 
     def neighbours(self, text: str, start: int, end: int) -> tuple[str, str]:
         left, right = text[max(0, start - 40) : start].split(), text[end : end + 40].split()
@@ -100,30 +119,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
 
     def count(batches):
         table = Fold()
-        seen: dict[str, list[int]] = {}
-        size = [0, 0]
+        seen: dict[str, int] = {}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                y = int(y > 0)
-                size[y] += 1
-                text = INVISIBLE.sub("", text)
+            for text in b.column(0).to_pylist():
                 # folded as matched: signs inside a word stand for letters, those at its edges are not part of it
-                for w in {w.strip(".,;:!?\"'()[]*#%&$|-") for w in _WORD.findall(text)}:
-                    if 3 <= len(w) <= 40 and any(c.isalpha() for c in w):
-                        seen.setdefault(fold(w, table), [0, 0])[y] += 1
-        k = [(w, *n) for w, n in seen.items() if n[1]]
-        k.append(("", *size))
+                words = {fold(w.strip(EDGES), table) for w in _WORD.findall(INVISIBLE.sub("", text))}
+                found = {w for w in words if 3 <= len(w) <= 40 and any(c.isalpha() for c in w)}
+                found |= {w[:n] + "*" for w in words for n in STEM if len(w) > n}
+                for w in found:
+                    seen[w] = seen.get(w, 0) + 1
+        k = list(seen.items())
         for i in range(0, len(k), 50_000):
-            w, n, t = zip(*k[i : i + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["w", "n0", "n1"])
-
-    # A word that a task saw with label 0 alone cannot enter the lexicon by that task's documents, but its
-    # count of label 0 is needed where it enters by another's; those are counted for the candidates below.
-    counts = rows.select("text", "y").mapInArrow(count, "w string, n0 long, n1 long")
-    summed = counts.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    size = summed.where("w = ''").first()
-    n0, n1 = (size[1], size[2]) if size else (0, 0)
-    likely = {r[0] for r in summed.where(f"w <> '' AND n1 >= {SUPPORT}").orderBy(F.desc("n1"), "w").limit(20 * MAX_WORDS).collect()} if n1 else set()
+            w, n = zip(*k[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["w", "n"])
+
+    size = {r[0]: (r[1], r[2]) for r in rows.groupBy((F.col("y") > 0).cast("int").alias("t")).agg(F.count("*"), F.sum(F.length("text") - F.length(F.regexp_replace("text", " ", "")) + 1)).collect()}
+    (n0, words0), (n1, words1) = size.get(0, (0, 0)), size.get(1, (0, 0))
+    counts = rows.where("y > 0").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {SUPPORT}")
+    likely = {r[0] for r in counts.orderBy(F.desc("n"), "w").limit(40 * MAX_WORDS).collect()}
     if not likely or not n0:
         rate = (n1 + 1) / (n0 + n1 + 2)
         return {"weights": {}, "before": [], "after": [], "coefficients": [math.log(rate / (1 - rate)), 0.0, 0.0]}
@@ -135,14 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
         seen: dict[str, list[int]] = {}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in {m[0] for m in lexicon.matches(INVISIBLE.sub("", text))}:
-                    seen.setdefault(w, [0, 0])[int(y > 0)] += 1
+                for w, n in lexicon.entries(INVISIBLE.sub("", text)).items():
+                    seen.setdefault(w, [0, 0, 0])[int(y > 0)] += n
+                    seen[w][2] += y > 0
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([n[i] for n in seen.values()], pa.int64()) for i in (0, 1))], ["w", "n0", "n1"])
-
-    exact = rows.select("text", "y").mapInArrow(present, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0"), F.sum("n1")).collect()
-    odds = {w: math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1)) for w, a, b in exact if b >= SUPPORT}
-    best = sorted((w for w, x in odds.items() if x >= LEAST_ODDS), key=lambda w: (-odds[w], w))[:MAX_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([int(n[i]) for n in seen.values()], pa.int64()) for i in range(3))], ["w", "n0", "n1", "docs"])
+
+    exact = rows.select("text", "y").mapInArrow(present, "w string, n0 long, n1 long, docs long").groupBy("w").agg(F.sum("n0"), F.sum("n1"), F.sum("docs")).collect()
+    odds = {w: math.log((b + 0.5) / (words1 + 1)) - math.log((a + 0.5) / (words0 + 1)) for w, a, b, d in exact if d >= SUPPORT}
+    odds = {w: x for w, x in odds.items() if x >= LEAST_ODDS}
+    stems = {w[:-1]: x for w, x in odds.items() if w[-1] == "*"}
+    spare = {w for w, x in odds.items() if any(stems.get(w[:n], -1) >= x - 0.7 for n in STEM if n < len(w.rstrip("*")) or n == len(w) and w[-1] != "*")}
+    best = sorted((w for w in odds if w not in spare), key=lambda w: (-odds[w], w))[:MAX_WORDS]
     model = {"weights": {w: odds[w] for w in best}, "before": [], "after": [], "coefficients": [0, 0, 0]}
     model_sent = docs.sparkSession.sparkContext.broadcast(model)
 
