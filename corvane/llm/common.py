@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text hashed at once: bounds the temporary arrays at about 40 times this.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Longer words are hashed one by one with xxHash.
 LONG_WORD = 256
 
@@ -193,6 +193,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 #: Bits of a pruning filter: 1 MB, whatever the number of keys; false positives only cost time.
 BLOOM_BITS = 1 << 23
+BLOOM_PARTS = 32
 
 
 def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -202,22 +203,18 @@ def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def bloom_of(keys: DataFrame) -> bytes:
-    """A Bloom filter (compressed, at most BLOOM_BITS) of the one long column of `keys`.  The partial
-    filters are merged on executors down to eight before they come to the driver."""
+    """A Bloom filter (compressed, at most BLOOM_BITS) of the one long column of `keys`.  It comes to the
+    driver in at most BLOOM_PARTS parts."""
 
     def build(batches):
         bits = np.zeros(BLOOM_BITS, bool)
         for b in batches:
-            if b.column(0).type == pa.binary():
-                for x in b.column(0).to_pylist():
-                    bits |= np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).view(bool)
-            else:
-                for p in _bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
-                    bits[p] = True
+            for p in _bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                bits[p] = True
         packed = zlib.compress(np.packbits(bits).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["bits"])
 
-    parts = keys.mapInArrow(build, "bits binary").coalesce(8).mapInArrow(build, "bits binary").collect()
+    parts = keys.coalesce(BLOOM_PARTS).mapInArrow(build, "bits binary").collect()
     bits = np.zeros(BLOOM_BITS // 8, np.uint8)
     for (x,) in parts:
         bits |= np.frombuffer(zlib.decompress(x), np.uint8)
