@@ -91,10 +91,10 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        from corvane.llm.tokens import ByteBpe
+        from corvane.llm.tokens import byte_bpe
 
-        coder = ByteBpe(tokenizer, ranks)
-        ends = coder.sentence_ends()
+        coder = byte_bpe(tokenizer, ranks)
+        ends = coder.sentence_ends
         last = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40

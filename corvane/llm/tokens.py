@@ -8,6 +8,7 @@ not hold (double white space, the tokenizer's own blank mark, special strings) g
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,7 +91,7 @@ class ByteBpe:
 
     def _plain(self, text: str) -> np.ndarray:
         if self.ranks is not None:
-            return np.array(self.ranks.encode_ordinary(text), "<u4")
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _units(self, units: list[str]) -> list[bytes]:
@@ -117,6 +118,7 @@ class ByteBpe:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
         return out
 
+    @functools.cached_property
     def sentence_ends(self) -> np.ndarray:
         """For each id whether a sentence or line may end after it."""
         n = self.library.get_vocab_size()
@@ -169,6 +171,17 @@ class Pieces:
         return np.fromiter((x.begin for x in found), np.int64, len(found)) + at
 
 
+@functools.lru_cache(maxsize=1)
+def byte_bpe(path: str, ranks_path: str | None = None) -> ByteBpe:
+    """One coder a Python worker, whose cache serves all its tasks."""
+    return ByteBpe(path, ranks_path)
+
+
+@functools.lru_cache(maxsize=1)
+def piece_counter(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def count_huge(text: str, pieces: Pieces, chunk: int = 4096, overlap: int = 64) -> int:
     """Tokens of a long text, by overlapping chunks.
 
@@ -215,7 +228,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, huge: int = 32_7
     columns are ignored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = piece_counter(path)
         for b in batches:
             column = b.column(1).fill_null("")
             _, at = C.text_buffer(column)
