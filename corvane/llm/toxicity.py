@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
     counts = rows.where("y > 0").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {SUPPORT}")
     likely = {r[0] for r in counts.orderBy(F.desc("n"), "w").limit(40 * MAX_WORDS).collect()}
     if not likely or not n0:
-        rate = (n1 + 1) / (n0 + n1 + 2)
+        rate = (n1 + 1) / (n0 + n1 + 3)
         return {"weights": {}, "before": [], "after": [], "coefficients": [math.log(rate / (1 - rate)), 0.0, 0.0]}
     start = {"weights": dict.fromkeys(likely, 1.0), "before": [], "after": [], "coefficients": [0, 0, 0]}
     sent = docs.sparkSession.sparkContext.broadcast(start)
