@@ -8,9 +8,10 @@ with a neighbour that the training rows show to be harmless).
 
 The lexicon and its weights are learnt.  An entry is a whole word or a stem (the first STEM letters of words).
 It speaks for label 1 by the log-ratio of its smoothed rates, per word of text, in the documents of either
-label: LEAST_ODDS or more, over SUPPORT or more documents of label 1.  A longer stem or a word is left out
-where a stem of it says as much.  Where several entries match at one place, the heaviest counts.  The score is a logistic function of the
-weighted matches and of the same normalised by length (per 100 words).
+label: LEAST_ODDS or more, over SUPPORT or more documents of label 1 and a hundredth of them.  A longer stem or
+a word is left out where a stem of it says as much.  Where several entries match at one place, the heaviest
+counts.  The score is a logistic function of the weighted matches and of the same normalised by length (per
+100 words).
 """
 
 from __future__ import annotations
@@ -115,7 +116,8 @@ class Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled: int = MAX_LABELLED, exceptions: list[tuple[str, str]] = ()) -> dict:
     """The model as a dictionary of bounded size, from at most `max_labelled` labelled documents.
     exceptions: (word, word) phrases that never count, besides those that are learnt."""
-    rows = labelled(docs, labels, target, max_labelled)
+    # copies of one text would lend its words a support that they do not have
+    rows = labelled(docs, labels, target, max_labelled).dropDuplicates(["text"])
 
     def count(batches):
         table = Fold()
@@ -135,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
 
     size = {r[0]: (r[1], r[2]) for r in rows.groupBy((F.col("y") > 0).cast("int").alias("t")).agg(F.count("*"), F.sum(F.length("text") - F.length(F.regexp_replace("text", " ", "")) + 1)).collect()}
     (n0, words0), (n1, words1) = size.get(0, (0, 0)), size.get(1, (0, 0))
-    counts = rows.where("y > 0").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {SUPPORT}")
+    support = max(SUPPORT, n1 // 100)
+    counts = rows.where("y > 0").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {support}")
     likely = {r[0] for r in counts.orderBy(F.desc("n"), "w").limit(40 * MAX_WORDS).collect()}
     if not likely or not n0:
         rate = (n1 + 1) / (n0 + n1 + 3)
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([int(n[i]) for n in seen.values()], pa.int64()) for i in range(3))], ["w", "n0", "n1", "docs"])
 
     exact = rows.select("text", "y").mapInArrow(present, "w string, n0 long, n1 long, docs long").groupBy("w").agg(F.sum("n0"), F.sum("n1"), F.sum("docs")).collect()
-    odds = {w: math.log((b + 0.5) / (words1 + 1)) - math.log((a + 0.5) / (words0 + 1)) for w, a, b, d in exact if d >= SUPPORT}
+    odds = {w: math.log((b + 0.5) / (words1 + 1)) - math.log((a + 0.5) / (words0 + 1)) for w, a, b, d in exact if d >= support}
     odds = {w: x for w, x in odds.items() if x >= LEAST_ODDS}
     stems = {w[:-1]: x for w, x in odds.items() if w[-1] == "*"}
     spare = {w for w, x in odds.items() if any(stems.get(w[:n], -1) >= x - 0.7 for n in STEM if n < len(w.rstrip("*")) or n == len(w) and w[-1] != "*")}
