@@ -7,7 +7,8 @@ succession, or one long line, are guaranteed to share a fingerprint.
 
 1.  Fingerprints travel packed to buckets of their hash; each later position is joined with an earlier one:
     the first of all, or, for fingerprints met over and over within one task, the first of that task.
-2.  From each joined position the match is extended both ways while the lines are equal.
+2.  From each joined position the match is extended both ways while the lines are equal; lines further off than
+    MIN_WORDS lie about another fingerprint, which is joined too, so only that far around is looked at.
 3.  Of a run of at least MIN_WORDS words, the later copy is deleted.  A deleted line always has an equal one
     at an earlier (doc_id, line), so the first copy of every line stays.
 
@@ -70,10 +71,8 @@ def fingerprints(h: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.flatnonzero(pick)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, h, n, at) of every document: hash, words and first byte of its lines, packed; and
-    (bucket, seen) rows of packed fingerprints."""
-    buckets = 2 * C.shuffle_width(docs.sparkSession)
+def _seen(docs: DataFrame, buckets: int) -> DataFrame:
+    """(k, near, seen): packed fingerprints by bucket; with `near`, pairs of one and an earlier one of the task."""
 
     def run(batches):
         held, weight = [], 0
@@ -85,58 +84,67 @@ def _lines(docs: DataFrame) -> DataFrame:
             p, k = p[order], k[order]
             new = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
             size = np.diff(np.append(new, len(p)))
-            nth = np.arange(len(p)) - np.repeat(new, size)
-            far = nth >= SENT
+            far = np.arange(len(p)) - np.repeat(new, size) >= SENT
             first = np.repeat(new, size)
-            for x, kind in ((p[~far], 1), (None, 2)):
-                if kind == 1:
-                    kk = k[~far]
-                    edge = np.searchsorted(kk, np.arange(buckets + 1))
-                    rows = [(i, x[edge[i] : edge[i + 1]].tobytes()) for i in range(buckets) if edge[i + 1] > edge[i]]
-                    yield batch([], 1, rows)
-                elif far.any():
-                    yield batch([], 2, [(0, p[far].tobytes() + p[first[far]].tobytes())])
-
-        def batch(docs_, kind, rows):
-            n, m = len(docs_), len(rows)
-            columns = list(zip(*docs_)) if docs_ else [()] * 5
-            return pa.RecordBatch.from_arrays(
-                [pa.array([0] * n + [kind] * m, pa.int32())]
-                + [pa.array([*c] + [None] * m, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-                + [pa.array([None] * n + [r[0] for r in rows], pa.int32()), pa.array([None] * n + [r[1] for r in rows], pa.binary())],
-                ["kind", "doc_id", "key", "h", "n", "at", "k", "seen"],
-            )
+            edge = np.searchsorted(k[~far], np.arange(buckets + 1))
+            x = p[~far]
+            rows = [(i, False, x[edge[i] : edge[i + 1]].tobytes()) for i in range(buckets) if edge[i + 1] > edge[i]]
+            later, before = p[far], p[first[far]]
+            for i in range(0, len(later), 20_000):
+                rows.append(((len(rows) * 7919) % buckets, True, later[i : i + 20_000].tobytes() + before[i : i + 20_000].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["k", "near", "seen"])
 
         for b in batches:
             b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
             ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             raw, at = C.text_buffer(b.column(1))
             for i, j in C.slices(at):
-                h, n, start, row = cut_lines(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                h, n, _, row = cut_lines(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 pick = fingerprints(h, n, row)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
-                out = []
-                for r in range(j - i):
-                    s = slice(edge[r], edge[r + 1])
-                    if s.stop > s.start:
-                        out.append((int(ids[i + r]), int(keys[i + r]), h[s].tobytes(), np.minimum(n[s], 65535).astype(np.uint16).tobytes(), (start[s] - (at[i + r] - at[i])).astype(np.int32).tobytes()))
-                yield batch(out, 0, [])
                 p = np.zeros(len(pick), SEEN)
                 p["h"], p["pos"] = h[pick], pick - edge[row[pick]]
                 p["doc"], p["key"] = ids[i + row[pick]], keys[i + row[pick]]
                 held.append(p)
                 weight += len(p)
             if weight > 500_000:
-                yield from flush()
+                yield flush()
                 held, weight = [], 0
         if weight:
-            yield from flush()
+            yield flush()
 
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    return source.mapInArrow(run, "kind int, doc_id long, key long, h binary, n binary, at binary, k int, seen binary")
+    return source.mapInArrow(run, "k int, near boolean, seen binary")
+
 
+def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, key, h, n, at): hash, words and first byte of the lines, packed, of the documents with a doc_id of
+    `ids` (and of a few others, by a bounded filter)."""
+    bloom = docs.sparkSession.sparkContext.broadcast(C.bloom_of(ids))
 
-def _pairs(lines: DataFrame, buckets: int) -> DataFrame:
+    def run(batches):
+        bits = C.bloom_bits(bloom.value)
+        for b in batches:
+            b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
+            b = b.filter(pa.array(C.bloom_has(bits, b.column(0).to_numpy(zero_copy_only=False))))
+            ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            raw, at = C.text_buffer(b.column(1))
+            for i, j in C.slices(at):
+                h, n, start, row = cut_lines(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                edge = np.searchsorted(row, np.arange(j - i + 1))
+                out = []
+                for r in range(j - i):
+                    s = slice(edge[r], edge[r + 1])
+                    if s.stop > s.start:
+                        out.append((int(ids[i + r]), int(keys[i + r]), h[s].tobytes(), np.minimum(n[s], 65535).astype(np.uint16).tobytes(), (start[s] - (at[i + r] - at[i])).astype(np.int32).tobytes()))
+                columns = list(zip(*out)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["doc_id", "key", "h", "n", "at"])
+
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    return source.mapInArrow(run, "doc_id long, key long, h binary, n binary, at binary")
+
+
+def _pairs(seen: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, key, ref_id, ref_key, pairs): positions of a document joined with earlier ones, packed."""
 
     def grouped(later, first):
@@ -161,25 +169,26 @@ def _pairs(lines: DataFrame, buckets: int) -> DataFrame:
                 ["doc_id", "key", "ref_id", "ref_key", "pairs"],
             )
 
-    def near(batches):
+    def run(batches):
+        got = []
         for b in batches:
-            for x in b.column(0).to_pylist():
-                both = np.frombuffer(x, SEEN)
-                yield from grouped(both[: len(both) // 2], both[len(both) // 2 :])
-
-    def far(batches):
-        got = [np.frombuffer(x, SEEN) for b in batches for x in b.column(0).to_pylist()]
+            for near, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x, SEEN)
+                if near:
+                    yield from grouped(x[: len(x) // 2], x[len(x) // 2 :])
+                else:
+                    got.append(x)
         if got:
             p = np.concatenate(got)
             got.clear()
             p = p[np.lexsort((p["pos"], p["key"], p["doc"], p["h"]))]
             new = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
             size = np.diff(np.append(new, len(p)))
-            yield from grouped(p[np.repeat(size > 1, size)], p[np.repeat(new, size)][np.repeat(size > 1, size)])
+            many = np.repeat(size > 1, size)
+            yield from grouped(p[many], p[np.repeat(new, size)][many])
 
     schema = "doc_id long, key long, ref_id long, ref_key long, pairs binary"
-    sent = lines.where("kind = 1").select("k", "seen").repartition(buckets, "k").select("seen").mapInArrow(far, schema)
-    return sent.union(lines.where("kind = 2").select("seen").mapInArrow(near, schema))
+    return seen.repartition(buckets, "k").select("near", "seen").mapInArrow(run, schema)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -188,51 +197,57 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     where runs that overlap were joined).
 
     Empty texts have no lines.  An empty table gives no runs."""
-    buckets = 2 * C.shuffle_width(docs.sparkSession)
-    lines = C.cut(_lines(docs))
-    arrays = lines.where("kind = 0").select("doc_id", "key", "h", "n", "at").dropDuplicates(["doc_id", "key"])
-    pairs = _pairs(lines, buckets).groupBy("doc_id", "key", "ref_id", "ref_key").agg(F.collect_list("pairs").alias("pairs"))
-
-    def extend(batches):
+    spark = docs.sparkSession
+    width = C.shuffle_width(spark)
+    pairs = C.cut(_pairs(_seen(docs, 2 * width), 2 * width))
+    arrays = C.cut(_arrays(docs, pairs.select("doc_id").union(pairs.select("ref_id"))))
+    reach = max(min_words, WINDOW)
+
+    def look(batches):
+        """The lines of the earlier document around the joined positions, up to `reach` on either side: beyond
+        that lie other fingerprints, or what is matched is long enough already."""
         for b in batches:
             rows = []
-            for d, key, r, rkey, pairs, h, g in zip(*(b.column(i) for i in range(7))):
-                h, g = np.frombuffer(h.as_buffer(), U), np.frombuffer(g.as_buffer(), U)
+            for d, key, r, pairs, g in zip(*(b.column(i) for i in range(5))):
+                g = np.frombuffer(g.as_buffer(), U)
                 p = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), PAIR) for x in pairs.values]))
-                runs, done = [], {}
-                for pos, ref in p.tolist():
-                    if done.get(pos - ref, -1) >= pos:
-                        continue
-                    i = pos - ref
-                    lo, hi = max(0, i), min(len(h), len(g) + i)
-                    equal = h[lo:hi] == g[lo - i : hi - i]
-                    off = np.flatnonzero(~equal) + lo
-                    k = int(np.searchsorted(off, pos))
-                    a, e = (int(off[k - 1]) + 1 if k else lo), (int(off[k]) if k < len(off) else hi)
-                    done[i] = e - 1
-                    if e > a:
-                        runs.append((a, e))
-                if runs:
-                    rows.append((d.as_py(), key.as_py(), np.array(runs, np.int32).tobytes(), r.as_py()))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "key", "runs", "ref_id"])
-
-    met = pairs.join(arrays.select("doc_id", "key", "h"), ["doc_id", "key"])
-    met = met.join(arrays.select(F.col("doc_id").alias("ref_id"), F.col("key").alias("ref_key"), F.col("h").alias("g")), ["ref_id", "ref_key"])
-    runs = met.select("doc_id", "key", "ref_id", "ref_key", "pairs", "h", "g").mapInArrow(extend, "doc_id long, key long, runs binary, ref_id long")
-    runs = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("ref_id", "runs")).alias("found"))
+                # one stretch for positions that are near each other on one diagonal
+                order = np.lexsort((p["pos"], p["pos"] - p["ref"]))
+                p = p[order]
+                far = np.ones(len(p), bool)
+                far[1:] = (np.diff(p["pos"] - p["ref"]) != 0) | (np.diff(p["pos"]) > 2 * reach)
+                starts = np.flatnonzero(far)
+                for s, e in zip(starts, np.append(starts[1:], len(p))):
+                    lo, hi = max(0, int(p["ref"][s]) - reach), min(len(g), int(p["ref"][e - 1]) + reach + 1)
+                    rows.append((d.as_py(), key.as_py(), r.as_py(), int(p["pos"][s] - p["ref"][s]) + lo, p["pos"][s:e].astype(np.int32).tobytes(), g[lo:hi].tobytes()))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "ref_id", "first", "pos", "g"])
+
+    grouped = pairs.repartition(width, "ref_id", "ref_key").groupBy("ref_id", "ref_key", "doc_id", "key").agg(F.collect_list("pairs").alias("pairs"))
+    ref = arrays.select(F.col("doc_id").alias("ref_id"), F.col("key").alias("ref_key"), F.col("h").alias("g")).dropDuplicates(["ref_id", "ref_key"])
+    met = grouped.join(ref, ["ref_id", "ref_key"]).select("doc_id", "key", "ref_id", "pairs", "g").mapInArrow(look, "doc_id long, key long, ref_id long, first int, pos binary, g binary")
+    met = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("ref_id", "first", "pos", "g")).alias("met"))
 
     def merge(batches):
         for b in batches:
             rows = []
-            for d, key, found, n, at in zip(*(b.column(i) for i in range(5))):
-                n, at = np.frombuffer(n.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(at.as_buffer(), np.int32)
+            for d, key, met, h, n, at in zip(*(b.column(i) for i in range(6))):
+                h, n, at = np.frombuffer(h.as_buffer(), U), np.frombuffer(n.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(at.as_buffer(), np.int32)
                 total = np.append(0, np.cumsum(n))
+                spans = set()
+                for x in met.as_py():
+                    g, first = np.frombuffer(x["g"], U), x["first"]  # g[0] lies against line `first`
+                    lo, hi = max(0, first), min(len(h), first + len(g))
+                    off = np.flatnonzero(h[lo:hi] != g[lo - first : hi - first]) + lo
+                    for pos in np.frombuffer(x["pos"], np.int32).tolist():
+                        k = int(np.searchsorted(off, pos))
+                        a, e = (int(off[k - 1]) + 1 if k else lo), (int(off[k]) if k < len(off) else hi)
+                        if e > pos >= a and total[e] - total[a] >= min_words:
+                            spans.add((int(total[e] - total[a]), a, e, x["ref_id"]))
                 gone, ref = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
-                spans = sorted((int(total[e] - total[a]), a, e, x["ref_id"]) for x in found.as_py() for a, e in np.frombuffer(x["runs"], np.int32).reshape(-1, 2).tolist())
-                for w, a, e, r in spans:  # the longest last
-                    if w >= min_words:
-                        gone[a:e], ref[a:e] = True, r
+                for _, a, e, r in sorted(spans):  # the longest last
+                    gone[a:e], ref[a:e] = True, r
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     start, stop = (0 if a == 0 else int(at[a])), (int(at[e]) if e < len(at) else -1)
@@ -241,7 +256,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "first_line", "n_lines", "n_words", "start", "end", "ref_id"])
 
-    whole = runs.join(arrays.select("doc_id", "key", "n", "at"), ["doc_id", "key"]).select("doc_id", "key", "found", "n", "at")
+    own = arrays.dropDuplicates(["doc_id", "key"])
+    whole = met.join(own, ["doc_id", "key"]).select("doc_id", "key", "met", "h", "n", "at")
     return whole.mapInArrow(merge, "doc_id long, key long, first_line int, n_lines int, n_words long, start long, end long, ref_id long")
 
 
