@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import common as C
 from corvane.llm.labels import labelled
 
 # Letters of other scripts, digits and signs that are read as Latin letters.
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
     """The model as a dictionary of bounded size, from at most `max_labelled` labelled documents.
     exceptions: (word, word) phrases that never count, besides those that are learnt."""
     # copies of one text would lend its words a support that they do not have
-    rows = labelled(docs, labels, target, max_labelled).dropDuplicates(["text"])
+    rows = C.cut(labelled(docs, labels, target, max_labelled).dropDuplicates(["text"]))
 
     def count(batches):
         table = Fold()
