@@ -26,6 +26,8 @@ each get a row.  Extra columns are ignored.  An empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -336,11 +338,36 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
     return left.join(found.select(F.col("sig").alias("y"), F.col("ids").alias("ids_y")), "y").mapInArrow(test, "x long, y long")
 
 
+def _met(member: DataFrame, matches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one open list and different components that can have enough matches.
+
+    A node has at most `cap` matches with any other: its open lists, and the most that one pair of small lists
+    gave it.  Pairs of like size need many matches, those at the ends of the size range few; so a node looks
+    only among the size classes where cap suffices.  Nodes whose prefix is mostly their own, as of a text that
+    holds a widely shared passage, or of a copy with too many changes, look hardly anywhere."""
+    t, step = percent / 100, math.log(1.08)
+    o = t / (1 + t)  # overlap that two sets of sizes a, b need: o (a + b)
+    best = matches.select(F.col("x").alias("sig"), "c").union(matches.select("y", "c")).groupBy("sig").agg(F.max("c").alias("most"))
+    caps = member.groupBy("sig").agg(F.count("*").alias("lists")).join(best, "sig", "left")
+    caps = caps.select("sig", (F.col("lists") + F.coalesce("most", F.lit(0))).alias("cap"))
+    n, cap = F.col("n"), F.col("cap")
+    # need(n, m) = o (n + m) - t max(n, m) + 1, less one for roundings, is at most cap up to `low` and from `high` on
+    low = (cap + 1 + (t - o) * n) / o
+    high = (o * n - 1 - cap) / (t - o)
+    size = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / step).cast("int")
+    classes = F.sequence(size(t * n), size(n / t))
+    fits = F.filter(classes, lambda b: (F.exp(b * step) <= low) | (F.exp((b + 1) * step) >= high))
+    rows = member.join(caps, "sig").withColumn("classes", fits).withColumn("class", size(n.cast("double")))
+    other = rows.select("h", F.col("class").alias("to"), *(F.col(c).alias(f"{c}2") for c in ("root", "sig", "n", "l", "s", "classes")))
+    met = rows.withColumn("to", F.explode("classes")).join(other, ["h", "to"])
+    return met.where("root < root2 AND array_contains(classes2, class)")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text string): see the module.
     percent: the least Jaccard similarity, in hundredths; size: words a shingle."""
     spark = docs.sparkSession
-    buckets = 2 * C.shuffle_width(spark)
+    buckets = C.shuffle_width(spark)
     both = C.cut(_digest(docs, size))
     digest = both.where("hot IS NULL").select("doc_id", "n", "sig")
     order = spark.sparkContext.broadcast(_frequent(both.where("hot IS NOT NULL").select("hot", "hot_n"), buckets))
@@ -367,7 +394,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             best = member.groupBy("h").agg(F.max_by(F.struct("root", "sig", "n", "l", "s"), F.struct("cent", "n", "sig")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}2") for c in ("root", "sig", "n", "l", "s")))
             met = member.join(best, "h").where("root <> root2")
         else:
-            met = member.join(member.select("h", *(F.col(c).alias(f"{c}2") for c in ("root", "sig", "n", "l", "s"))), "h").where("root < root2")
+            met = _met(C.cut(member), matches, percent)
         met = met.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND greatest(s, s2) <= least(l, l2)")
         if not last:
             met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
