@@ -376,6 +376,29 @@ def test_lm_scores(spark):
     assert score(docs, fit(target.limit(0), docs)).count() == 65
 
 
+def test_lm_models_hold_every_pair(spark, monkeypatch):
+    from corvane.llm import lm_score as L
+
+    # 70,000 words that the target repeats, and the pairs of the later ones: over what 16 bits hold
+    monkeypatch.setattr(L, "HELD", 50_000)
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(i, " ".join(words[i : i + 1000])) for i in range(0, 70_000, 1000)]
+    target, docs = frame(spark, rows + rows), frame(spark, [*rows, (1, "w5 w5"), (2, None)])
+    model = L.fit(target, docs)
+    assert len(model["words"]) == 70_000 and model["unigram"].shape == (2, 70_002)
+    got = {x.doc_id: x for x in L.score(docs, model).collect()}
+    assert len(got) == 72 and got[1].n_words == 2 and got[2].score is None
+    # of each row: the first word after START, of 140 and 71 rows, and 999 pairs seen twice and once
+    n = ((140_000, 140, 2, 2), (70_002, 71, 1, 1))
+    for i in range(1000, 70_000, 1000):
+        for loss, (total, starts, first, rest) in zip((got[i].target_loss, got[i].background_loss), n):
+            p = (rest + 1) / (total + 70_002)
+            each = -np.log((rest + 200 * p) / (rest + 200))
+            assert np.isclose(loss, (999 * each - np.log((first + 200 * p) / (starts + 200))) / 1000, atol=1e-5)
+    monkeypatch.setattr(L, "BUCKET_BYTES", 1000)
+    assert L._bits(docs.select("text")) > L.LEAST_BITS
+
+
 def test_line_dedup(spark):
     from corvane.llm.line_dedup import cut_lines, dedup_lines, repeated_runs
 
