@@ -40,13 +40,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.sharding import shuffle_into_shards
 
-    # Only what the result shows is carried: the size and checksum of a text stand for it.
-    digest = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "CAST(coalesce(octet_length(text), 0) + 1 AS BIGINT) AS size", "crc32(CAST(coalesce(text, '') AS BINARY)) AS text_crc32"
-    )
-    return shuffle_into_shards(digest, 8).selectExpr(
-        "doc_id", "size", "text_crc32", "'rows' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard"
-    )
+    shuffled = shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return shuffled.selectExpr(
+        "doc_id", "CAST(coalesce(octet_length(text), 0) + 1 AS BIGINT) AS size", "crc32(CAST(coalesce(text, '') AS BINARY)) AS text_crc32",
+        "'rows' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard",
+    )
 
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

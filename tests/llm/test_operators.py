@@ -262,6 +262,20 @@ def test_sharding(spark):
     assert shuffle_into_shards(docs.limit(0), 8).count() == 0
 
 
+def test_sharding_query_moves_texts(spark, monkeypatch):
+    import zlib
+
+    from corvane.llm import queries, sharding
+
+    moved, shuffle = [], sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda rows, *a: moved.append(rows) or shuffle(rows, *a))
+    got = queries.op5_hypergeometric_sharding(spark, SF).collect()
+    assert moved[0].columns == ["doc_id", "text"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    digest = lambda d, t: (d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((x.doc_id, x["size"], x.text_crc32) for x in got) == sorted(digest(*x) for x in docs)
+
+
 def test_cuts_are_optimal():
     from corvane.llm import packing as K
 
