@@ -477,3 +477,19 @@ def test_pipeline_keeps_what_it_should(spark):
     items = [r.text.lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert clean == {r.doc_id for r in docs.collect() if not any(t in r.text.lower() for t in items)}
     assert P.run(spark, SF).where(F.col("length") > 1024).count() == 0
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    import zlib
+
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    pieces = {}
+    for x in P.packing(spark, docs, SF).collect():
+        assert len(x.ids) == x.length and zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32
+        pieces.setdefault(x.doc_id, []).append((x.start, x.ids))
+    library = Tokenizer.from_file(BPE)
+    for d, t in docs.select("doc_id", "text").collect():
+        assert [i for _, ids in sorted(pieces[d]) for i in ids] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
