@@ -2,7 +2,7 @@
 
 quality    documents that the classifier does not select go
 lines      later copies of repeated runs of lines are deleted; documents that were nothing else go
-near       one document of each group of near duplicates stays, the one of smallest doc_id
+near       one row of each group of near duplicates stays, the one of smallest doc_id
 leaks      documents that hold a benchmark passage go
 packing    what is left is cut into sequences of 1024 tokens
 """
@@ -34,16 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are the smallest doc_id of their group; of rows with one doc_id the smallest text stays."""
+    """One row of each group of near duplicates, the one of smallest doc_id, then text; null doc_ids come last.
+    Rows are told apart by doc_id and text, so rows that share a doc_id only are judged each by its own text."""
     C.prepare(spark)
-    found = C.cut(near_duplicates(docs))
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    maybe, rest = C.split_by_keys(docs, gone.union(twice))
-    maybe = maybe.join(gone.distinct(), "doc_id", "left_anti")
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = maybe.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("row"))
-    return first.select("doc_id", *(F.col("row")[c].alias(c) for c in others)).select(*docs.columns).union(rest)
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = C.cut(near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"))).select(F.col("doc_id").alias("__row"), "component_id")
+    many = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    ids = C.cut(found.join(many, "component_id").select("__row", "component_id").distinct())
+    maybe, rest = C.split_by_keys(keyed, ids.select("__row"), "__row")
+    maybe = maybe.join(ids, "__row", "left").withColumn("__group", F.coalesce("component_id", "__row"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = maybe.groupBy("__group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text", *others)).alias("row"))
+    return first.select(*(F.col("row")[c].alias(c) for c in docs.columns)).union(rest.select(*docs.columns))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -493,3 +493,14 @@ def test_pipeline_ends_in_token_ids(spark):
     library = Tokenizer.from_file(BPE)
     for d, t in docs.select("doc_id", "text").collect():
         assert [i for _, ids in sorted(pieces[d]) for i in ids] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_near_judges_rows_that_share_an_id(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(31)
+    a, b, c, d = (sentence(r, 40) for _ in range(4))
+    # id 7 is shared by three texts, one of which is a copy of a smaller id's
+    docs = frame(spark, [(1, a), (7, a), (7, b), (7, c), (7, c), (8, d), (9, d), (None, d)])
+    got = sorted((x.doc_id, x.text) for x in P.near(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (7, b), (7, c), (8, d)])
