@@ -171,11 +171,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset
+    and one machine is the whole cluster."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="corvane-checkpoint-")  # one machine: driver and executors share it
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
@@ -191,43 +194,44 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bits of a pruning filter: 1 MB, whatever the number of keys; false positives only cost time.
-BLOOM_BITS = 1 << 23
+#: Bits of a pruning filter: about 16 a key between these bounds, so 8 MB at most; false positives only cost time.
+BLOOM_LEAST, BLOOM_MOST = 20, 26
 BLOOM_PARTS = 32
 
 
-def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+def _bloom_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     h = mix(keys.astype(np.int64).view(np.uint64) + U(0x51ED270B))
-    n = U(BLOOM_BITS - 1)
-    return h & n, (h >> U(20)) & n, (h >> U(40)) & n
+    return h & U(size - 1), (h >> U(19)) & U(size - 1), (h >> U(38)) & U(size - 1)
 
 
 def bloom_of(keys: DataFrame) -> bytes:
-    """A Bloom filter (compressed, at most BLOOM_BITS) of the one long column of `keys`.  It comes to the
-    driver in at most BLOOM_PARTS parts."""
+    """A Bloom filter (compressed) of the one long column of `keys`, which is read twice.  It comes to the driver
+    in at most BLOOM_PARTS parts."""
+    size = 1 << min(BLOOM_MOST, max(BLOOM_LEAST, (16 * keys.count()).bit_length()))
 
     def build(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            for p in _bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
+            for p in _bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
                 bits[p] = True
-        packed = zlib.compress(np.packbits(bits).tobytes(), 1)
+        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["bits"])
 
-    parts = keys.coalesce(BLOOM_PARTS).mapInArrow(build, "bits binary").collect()
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for (x,) in parts:
+    bits = np.zeros(size // 8, np.uint8)
+    for (x,) in keys.coalesce(BLOOM_PARTS).mapInArrow(build, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(x), np.uint8)
     return zlib.compress(bits.tobytes(), 1)
 
 
 def bloom_bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).view(bool)
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
 def bloom_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b, c = _bloom_places(keys)
-    return bits[a] & bits[b] & bits[c]
+    found = np.ones(len(keys), bool)
+    for p in _bloom_places(keys, 8 * len(bits)):
+        found &= (bits[p >> U(3)] >> (p & U(7)).astype(np.uint8)) & 1 > 0
+    return found
 
 
 def split_by_keys(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

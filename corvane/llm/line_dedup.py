@@ -1,16 +1,19 @@
 """Line deduplication by winnowing over line hashes.
 
 A *line* is a stretch of text up to a line break or the end of a sentence, with the white space after it.
-Its hash is of its words (A-Z as a-z).  Of every window of WINDOW lines in succession, the one of least
-hash is a fingerprint, and so is any line of LONG words or more: two documents that share WINDOW lines in
-succession, or one long line, are guaranteed to share a fingerprint.
-
-1.  Fingerprints travel packed to buckets of their hash; each later position is joined with an earlier one:
-    the first of all, or, for fingerprints met over and over within one task, the first of that task.
-2.  From each joined position the match is extended both ways while the lines are equal; lines further off than
-    MIN_WORDS lie about another fingerprint, which is joined too, so only that far around is looked at.
-3.  Of a run of at least MIN_WORDS words, the later copy is deleted.  A deleted line always has an equal one
-    at an earlier (doc_id, line), so the first copy of every line stays.
+Its hash is of its words (A-Z as a-z).  From each line a *stretch* reaches over the fewest lines that hold
+MIN_WORDS words.  Of every WINDOW stretches in succession the one of least hash is a fingerprint, and so is
+any line of LONG words or more.  A run is found whole if WINDOW stretches or a line of LONG words lie in it: any
+run of 42 words, then, as without such a line two lines and a stretch have 11 + 11 + 20 at most.
+
+1.  Fingerprints travel packed to buckets of their hash.  A task sends the first of each hash that it holds; its
+    later ones have an earlier copy right there.  So a frequent line is one entry a task, never a hot bucket.
+2.  Fingerprints that occur twice are extended both ways, to where the next guaranteed fingerprint of a common
+    run must lie: WINDOW - 1 lines back, and as far as no whole stretch follows ahead.  Each of these longer
+    spans is joined by the hash of its lines in the same way, so the copy that matches furthest is found even
+    where the first holder of the fingerprint itself matches no further.
+3.  A span that occurs at an earlier (doc_id, line) is deleted.  A deleted line always has an equal one earlier,
+    so the first copy of every line stays.
 
 Rows are told apart by doc_id and a hash of the text; rows equal in both are one document here and are
 treated alike.  Rows with a null doc_id or text are left as they are.
@@ -27,13 +30,25 @@ from pyspark.sql import types as T
 
 from corvane.llm import common as C
 
-WINDOW, LONG, MIN_WORDS = 4, 12, 10
-#: Occurrences of one fingerprint that a task sends on; further ones are joined within the task.
-SENT = 8
+WINDOW, LONG, MIN_WORDS = 3, 12, 10
+#: Spans that a task holds before it sends them on.
+HELD = 500_000
 
 U = np.uint64
-SEEN = np.dtype([("h", U), ("doc", np.int64), ("key", np.int64), ("pos", np.int32)])
-PAIR = np.dtype([("pos", np.int32), ("ref", np.int32)])
+#: Lines a to e of a document; want: whether the answer is asked for.
+SPAN = np.dtype([("h", U), ("doc", np.int64), ("key", np.int64), ("a", np.int32), ("e", np.int32), ("want", np.uint8)])
+#: The answer: whether there is an earlier copy, and in which document.
+HIT = np.dtype([("doc", np.int64), ("key", np.int64), ("a", np.int32), ("e", np.int32), ("early", np.uint8), ("ref", np.int64)])
+#: What travels: SPAN and HIT packed, and documents with the arrays of their lines.
+SPANS, HITS, LINES = 0, 1, 2
+ROWS = "k int, kind int, doc_id long, key long, p binary, n binary, at binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], NAMES)
 
 
 def cut_lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,209 +70,290 @@ def cut_lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, n, start[new], row[new]
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Indexes of the fingerprints among the lines of many documents."""
-    pick = n >= LONG
-    if len(h):
-        count = np.bincount(row - row[0])
-        for start, m in zip(np.append(0, np.cumsum(count)[:-1]), count):
-            if m:
-                x = h[start : start + m]
-                if m <= WINDOW:
-                    pick[start + int(x.argmin())] = True
-                else:
-                    view = np.lib.stride_tricks.sliding_window_view(x, WINDOW)
-                    pick[start + np.arange(m - WINDOW + 1) + view.argmin(1)] = True
-    return np.flatnonzero(pick)
-
-
-def _seen(docs: DataFrame, buckets: int) -> DataFrame:
-    """(k, near, seen): packed fingerprints by bucket; with `near`, pairs of one and an earlier one of the task."""
+class Lines:
+    """The lines of many documents, one after the other."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, row: np.ndarray, min_words: int) -> None:
+        self.n, self.row, self.min_words = n, row, min_words
+        self.last = np.searchsorted(row, row, "right")  # the end of each line's document
+        self.first = np.searchsorted(row, row)
+        self.words = np.append(0, np.cumsum(n))
+        self.end = np.searchsorted(self.words, self.words[:-1] + min_words)  # of the stretch from each line
+        self.whole = self.end <= self.last
+        power, self.back = C._power_tables(len(h) + 1)
+        self.total = np.zeros(len(h) + 1, U)
+        np.cumsum(C.mix(h) * power[: len(h)], out=self.total[1:])
+
+    def hash(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The hash of the lines from a up to e, wherever they stand."""
+        return C.mix((self.total[e] - self.total[a]) * self.back[a] + (e - a).astype(U))
+
+    def fingerprints(self) -> np.ndarray:
+        """The lines from which fingerprints reach, one stretch each."""
+        start = np.flatnonzero(self.whole)  # in each document, all lines up to some one
+        pick = self.n[start] >= max(LONG, self.min_words)
+        x, row = self.hash(start, self.end[start]), self.row[start]
+        at = np.flatnonzero(row[: len(row) - WINDOW + 1] == row[WINDOW - 1 :]) if len(row) >= WINDOW else start[:0]
+        if len(at):
+            pick[at + np.stack([x[at + i] for i in range(WINDOW)]).argmin(0)] = True
+        new = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else start[:0]
+        count = np.diff(np.append(new, len(row)))
+        for m in range(1, WINDOW):
+            at = new[count == m]
+            if len(at):
+                pick[at + np.stack([x[at + i] for i in range(m)]).argmin(0)] = True
+        return start[pick]
+
+    def longer(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of `line`, from, to) of the spans that extend the stretches from `line`."""
+        which, a, e = [], [], []
+        for r in range(1, WINDOW):
+            at = np.flatnonzero(line - r >= self.first[line])
+            which.append(at)
+            a.append(line[at] - r)
+            e.append(self.end[line[at]])
+        beyond = np.minimum(line + WINDOW, self.last[line] - 1)
+        most = np.minimum(np.where(self.whole[beyond] & (line + WINDOW == beyond), self.end[beyond] - 1, self.last[line]), self.last[line])
+        n = np.maximum(most - self.end[line], 0)
+        at = np.repeat(np.arange(len(line)), n)
+        which.append(at)
+        a.append(line[at])
+        e.append(self.end[line[at]] + 1 + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+        return tuple(np.concatenate(x) for x in (which, a, e))  # type: ignore[return-value]
+
+
+def _by_document(x: np.ndarray, buckets: int, kind: int) -> list:
+    k = ((C.mix(x["doc"].astype(U) ^ C.mix(x["key"].astype(U))) >> U(32)) * U(buckets)) >> U(32)
+    order = np.argsort(k, kind="stable")
+    x, edge = x[order], np.searchsorted(k[order], np.arange(buckets + 1).astype(U))
+    return [(i, kind, None, None, x[edge[i] : edge[i + 1]].tobytes(), None, None) for i in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _groups(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spans by hash and place, without repeats; the first of each one's hash; the spans of its hash)."""
+    p = p[np.lexsort((p["want"], p["e"], p["a"], p["key"], p["doc"], p["h"]))]
+    again = np.zeros(len(p), bool)
+    again[:-1] = (p["h"][1:] == p["h"][:-1]) & (p["doc"][1:] == p["doc"][:-1]) & (p["key"][1:] == p["key"][:-1]) & (p["a"][1:] == p["a"][:-1])
+    p = p[~again]  # of equal ones the one that wants an answer, or has been met again, is last
+    new = np.flatnonzero(np.append(True, p["h"][1:] != p["h"][:-1]))
+    size = np.diff(np.append(new, len(p)))
+    return p, np.repeat(new, size), np.repeat(size, size)
+
+
+def _hits(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(p), HIT)
+    for c in ("doc", "key", "a", "e"):
+        out[c] = p[c]
+    out["early"] = (p["doc"] != first["doc"]) | (p["key"] != first["key"]) | (p["a"] != first["a"])
+    out["ref"] = first["doc"]
+    return out
+
+
+def _send(p: np.ndarray, buckets: int) -> list:
+    """Rows for what a task holds: the first span of each hash, and hits for the others.  A span that has been met
+    again here wants an answer either way."""
+    p, first, size = _groups(p)
+    one = first == np.arange(len(p))
+    sent, later = p[one], ~one & (p["want"] > 0)
+    rows = _by_document(_hits(p[later], p[first[later]]), buckets, HITS)
+    sent["want"] = np.where((size[one] > 1) & (sent["want"] > 0), 2, sent["want"])
+    k = ((sent["h"] >> U(32)) * U(buckets)) >> U(32)  # rises with h
+    edge = np.searchsorted(k, np.arange(buckets + 1).astype(U))
+    return rows + [(i, SPANS, None, None, sent[edge[i] : edge[i + 1]].tobytes(), None, None) for i in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _joined(rows: DataFrame, buckets: int, every: bool) -> DataFrame:
+    """Hits for the spans of `rows` (other rows pass): with `every`, for all that occur twice, else only for those
+    with an earlier copy that want an answer."""
 
+    def run(batches):
+        got: dict[int, list] = {}
+        for b in batches:
+            other = b.filter(pc.not_equal(b.column(1), SPANS))
+            if len(other):
+                yield pa.RecordBatch.from_arrays(other.columns, NAMES)
+            spans = b.filter(pc.equal(b.column(1), SPANS))
+            for k, p in zip(spans.column(0).to_pylist(), spans.column(4).to_pylist()):
+                got.setdefault(k, []).append(np.frombuffer(p, SPAN))
+        while got:
+            _, parts = got.popitem()
+            p, first, size = _groups(np.concatenate(parts))
+            want = (size > 1) | (p["want"] > 1) if every else (first != np.arange(len(p))) & (p["want"] > 0)
+            if want.any():
+                yield _batch(_by_document(_hits(p[want], p[first[want]]), buckets, HITS))
+
+    return rows.repartition(buckets, "k").mapInArrow(run, ROWS)
+
+
+def _fingerprints(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
     def run(batches):
         held, weight = [], 0
-
-        def flush():
-            p = np.concatenate(held)
-            k = (((p["h"] >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
-            order = np.lexsort((p["pos"], p["key"], p["doc"], p["h"], k))
-            p, k = p[order], k[order]
-            new = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
-            size = np.diff(np.append(new, len(p)))
-            far = np.arange(len(p)) - np.repeat(new, size) >= SENT
-            first = np.repeat(new, size)
-            edge = np.searchsorted(k[~far], np.arange(buckets + 1))
-            x = p[~far]
-            rows = [(i, False, x[edge[i] : edge[i + 1]].tobytes()) for i in range(buckets) if edge[i + 1] > edge[i]]
-            later, before = p[far], p[first[far]]
-            for i in range(0, len(later), 20_000):
-                rows.append(((len(rows) * 7919) % buckets, True, later[i : i + 20_000].tobytes() + before[i : i + 20_000].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["k", "near", "seen"])
-
         for b in batches:
             b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
             ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             raw, at = C.text_buffer(b.column(1))
             for i, j in C.slices(at):
                 h, n, _, row = cut_lines(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                pick = fingerprints(h, n, row)
-                edge = np.searchsorted(row, np.arange(j - i + 1))
-                p = np.zeros(len(pick), SEEN)
-                p["h"], p["pos"] = h[pick], pick - edge[row[pick]]
-                p["doc"], p["key"] = ids[i + row[pick]], keys[i + row[pick]]
+                lines = Lines(h, n, row, min_words)
+                a = lines.fingerprints()
+                p = np.zeros(len(a), SPAN)
+                p["h"], p["a"], p["e"], p["want"] = lines.hash(a, lines.end[a]), a - lines.first[a], lines.end[a] - lines.first[a], 1
+                p["doc"], p["key"] = ids[i + row[a]], keys[i + row[a]]
                 held.append(p)
                 weight += len(p)
-            if weight > 500_000:
-                yield flush()
+            if weight > HELD:
+                yield _batch(_send(np.concatenate(held), buckets))
                 held, weight = [], 0
         if weight:
-            yield flush()
+            yield _batch(_send(np.concatenate(held), buckets))
 
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    return source.mapInArrow(run, "k int, near boolean, seen binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, ROWS)
 
 
-def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, key, h, n, at): hash, words and first byte of the lines, packed, of the documents with a doc_id of
-    `ids` (and of a few others, by a bounded filter)."""
+def _lines(docs: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
+    """Hash, words and first byte of the lines, packed, of the documents with a doc_id of `ids` (and of a few others,
+    by a bounded filter)."""
     bloom = docs.sparkSession.sparkContext.broadcast(C.bloom_of(ids))
 
     def run(batches):
         bits = C.bloom_bits(bloom.value)
+        seen: set = set()
         for b in batches:
             b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
             b = b.filter(pa.array(C.bloom_has(bits, b.column(0).to_numpy(zero_copy_only=False))))
             ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            doc = np.zeros(len(b), SPAN)
+            doc["doc"], doc["key"] = ids, keys
+            k = ((C.mix(doc["doc"].astype(U) ^ C.mix(doc["key"].astype(U))) >> U(32)) * U(buckets)) >> U(32)
             raw, at = C.text_buffer(b.column(1))
             for i, j in C.slices(at):
                 h, n, start, row = cut_lines(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 out = []
                 for r in range(j - i):
-                    s = slice(edge[r], edge[r + 1])
-                    if s.stop > s.start:
-                        out.append((int(ids[i + r]), int(keys[i + r]), h[s].tobytes(), np.minimum(n[s], 65535).astype(np.uint16).tobytes(), (start[s] - (at[i + r] - at[i])).astype(np.int32).tobytes()))
-                columns = list(zip(*out)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["doc_id", "key", "h", "n", "at"])
-
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    return source.mapInArrow(run, "doc_id long, key long, h binary, n binary, at binary")
-
-
-def _pairs(seen: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, key, ref_id, ref_key, pairs): positions of a document joined with earlier ones, packed."""
-
-    def grouped(later, first):
-        same = (later["doc"] == first["doc"]) & (later["key"] == first["key"]) & (later["pos"] == first["pos"])
-        later, first = later[~same], first[~same]
-        order = np.lexsort((later["pos"], first["key"], first["doc"], later["key"], later["doc"]))
-        later, first = later[order], first[order]
-        if not len(later):
-            return
-        edge = np.zeros(len(later), bool)
-        edge[0] = True
-        for x, f in ((later, "doc"), (later, "key"), (first, "doc"), (first, "key")):
-            edge[1:] |= x[f][1:] != x[f][:-1]
-        new = np.flatnonzero(edge)
-        packed = np.zeros(len(later), PAIR)
-        packed["pos"], packed["ref"] = later["pos"], first["pos"]
-        ends = np.append(new[1:], len(later))
-        for i in range(0, len(new), 20_000):
-            s = new[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(later["doc"][s]), pa.array(later["key"][s]), pa.array(first["doc"][s]), pa.array(first["key"][s]), pa.array([packed[a:b].tobytes() for a, b in zip(s, ends[i : i + 20_000])], pa.binary())],
-                ["doc_id", "key", "ref_id", "ref_key", "pairs"],
-            )
-
-    def run(batches):
-        got = []
-        for b in batches:
-            for near, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(x, SEEN)
-                if near:
-                    yield from grouped(x[: len(x) // 2], x[len(x) // 2 :])
-                else:
-                    got.append(x)
-        if got:
-            p = np.concatenate(got)
-            got.clear()
-            p = p[np.lexsort((p["pos"], p["key"], p["doc"], p["h"]))]
-            new = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
-            size = np.diff(np.append(new, len(p)))
-            many = np.repeat(size > 1, size)
-            yield from grouped(p[many], p[np.repeat(new, size)][many])
-
-    schema = "doc_id long, key long, ref_id long, ref_key long, pairs binary"
-    return seen.repartition(buckets, "k").select("near", "seen").mapInArrow(run, schema)
+                    s, who = slice(edge[r], edge[r + 1]), (int(ids[i + r]), int(keys[i + r]))
+                    if s.stop > s.start and who not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(who)
+                        out.append((int(k[i + r]), LINES, *who, h[s].tobytes(), n[s].astype(np.int32).tobytes(), (start[s] - (at[i + r] - at[i])).astype(np.int32).tobytes()))
+                yield _batch(out)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, ROWS)
+
+
+def _met(batches):
+    """For batches of one partition, sorted by bucket and kind: (documents with hits, of each hit the row, the hits).
+    A document that comes twice counts once."""
+    at, parts, where, hits = None, [], None, None
+    for b in batches:
+        kinds, ks = b.column(1).to_pylist(), b.column(0).to_pylist()
+        rows, spans = [], []
+        for r, (k, kind) in enumerate(zip(ks, kinds)):
+            if k != at:
+                at, parts, where = k, [], None
+            if kind == HITS:
+                parts.append(np.frombuffer(b.column(4)[r].as_buffer(), HIT))
+                continue
+            if where is None:
+                x = np.concatenate(parts) if parts else np.zeros(0, HIT)
+                x = x[np.lexsort((x["a"], x["key"], x["doc"]))]
+                new = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["key"][1:] != x["key"][:-1]))) if len(x) else []
+                ends = np.append(new[1:], len(x)) if len(x) else []
+                where = dict(zip(zip(x["doc"][new].tolist(), x["key"][new].tolist()), zip(new, ends))) if len(x) else {}
+                hits = x
+            s = where.pop((b.column(2)[r].as_py(), b.column(3)[r].as_py()), None)
+            if s:
+                rows.append(r)
+                spans.append(hits[s[0] : s[1]])
+        if rows:
+            yield b.take(pa.array(rows)), np.repeat(np.arange(len(rows)), [len(x) for x in spans]), np.concatenate(spans)
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed arrays, and how many each row has."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
+def _sorted(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "k").sortWithinPartitions("k", "kind")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, first_line, n_lines, n_words, start, end, ref_id): the runs of lines to delete.  start and
     end are bytes of the text; key is xxhash64 of the text; ref_id holds an earlier copy (of the longest part,
-    where runs that overlap were joined).
+    where spans that overlap were joined).
 
     Empty texts have no lines.  An empty table gives no runs."""
     spark = docs.sparkSession
-    width = C.shuffle_width(spark)
-    pairs = C.cut(_pairs(_seen(docs, 2 * width), 2 * width))
-    arrays = C.cut(_arrays(docs, pairs.select("doc_id").union(pairs.select("ref_id"))))
-    reach = max(min_words, WINDOW)
-
-    def look(batches):
-        """The lines of the earlier document around the joined positions, up to `reach` on either side: beyond
-        that lie other fingerprints, or what is matched is long enough already."""
+    buckets = 2 * C.shuffle_width(spark)
+
+    def ids(batches):
         for b in batches:
-            rows = []
-            for d, key, r, pairs, g in zip(*(b.column(i) for i in range(5))):
-                g = np.frombuffer(g.as_buffer(), U)
-                p = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), PAIR) for x in pairs.values]))
-                # one stretch for positions that are near each other on one diagonal
-                order = np.lexsort((p["pos"], p["pos"] - p["ref"]))
-                p = p[order]
-                far = np.ones(len(p), bool)
-                far[1:] = (np.diff(p["pos"] - p["ref"]) != 0) | (np.diff(p["pos"]) > 2 * reach)
-                starts = np.flatnonzero(far)
-                for s, e in zip(starts, np.append(starts[1:], len(p))):
-                    lo, hi = max(0, int(p["ref"][s]) - reach), min(len(g), int(p["ref"][e - 1]) + reach + 1)
-                    rows.append((d.as_py(), key.as_py(), r.as_py(), int(p["pos"][s] - p["ref"][s]) + lo, p["pos"][s:e].astype(np.int32).tobytes(), g[lo:hi].tobytes()))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "ref_id", "first", "pos", "g"])
-
-    grouped = pairs.repartition(width, "ref_id", "ref_key").groupBy("ref_id", "ref_key", "doc_id", "key").agg(F.collect_list("pairs").alias("pairs"))
-    ref = arrays.select(F.col("doc_id").alias("ref_id"), F.col("key").alias("ref_key"), F.col("h").alias("g")).dropDuplicates(["ref_id", "ref_key"])
-    met = grouped.join(ref, ["ref_id", "ref_key"]).select("doc_id", "key", "ref_id", "pairs", "g").mapInArrow(look, "doc_id long, key long, ref_id long, first int, pos binary, g binary")
-    met = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("ref_id", "first", "pos", "g")).alias("met"))
+            for p in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(p.as_buffer(), HIT)["doc"]))], ["doc_id"])
+
+    hits = C.cut(_joined(_fingerprints(docs, buckets, min_words), buckets, True))
+    touched = hits.select("p").mapInArrow(ids, "doc_id long")
+
+    def extend(batches):
+        held, weight = [], 0
+        for b, of, hit in _met(batches):
+            (h, m), (n, _) = _flat(b.column(4), U), _flat(b.column(5), np.int32)
+            row = np.repeat(np.arange(len(b)), m)
+            lines = Lines(h, n, row, min_words)
+            base = np.cumsum(m) - m
+            early = hit["early"] > 0
+            gone = np.zeros(len(h) + 1, np.int64)
+            np.add.at(gone, base[of[early]] + hit["a"][early], 1)
+            np.add.at(gone, base[of[early]] + hit["e"][early], -1)
+            kept = np.append(0, np.cumsum(np.cumsum(gone[:-1]) == 0))
+            line = base[of] + hit["a"]
+            which, a, e = lines.longer(line)
+            p = np.zeros(len(a), SPAN)
+            p["h"], p["a"], p["e"], p["want"] = lines.hash(a, e), a - base[of[which]], e - base[of[which]], kept[e] > kept[a]
+            p["doc"], p["key"] = hit["doc"][which], hit["key"][which]
+            held.append(p)
+            weight += len(p)
+            need = np.unique(np.append(of[early], of[which[p["want"] > 0]]))
+            some = b.take(pa.array(need))
+            yield _batch(_by_document(hit[early], buckets, HITS))
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.nulls(len(some), pa.binary()), *some.columns[5:]], NAMES)
+            if weight > HELD:
+                yield _batch(_send(np.concatenate(held), buckets))
+                held, weight = [], 0
+        if weight:
+            yield _batch(_send(np.concatenate(held), buckets))
+
+    longer = C.cut(_sorted(hits.union(_lines(docs, touched, buckets)), buckets).mapInArrow(extend, ROWS))
+    ends = _joined(longer.where(F.col("kind") != LINES), buckets, False)
 
     def merge(batches):
-        for b in batches:
-            rows = []
-            for d, key, met, h, n, at in zip(*(b.column(i) for i in range(6))):
-                h, n, at = np.frombuffer(h.as_buffer(), U), np.frombuffer(n.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(at.as_buffer(), np.int32)
-                total = np.append(0, np.cumsum(n))
-                spans = set()
-                for x in met.as_py():
-                    g, first = np.frombuffer(x["g"], U), x["first"]  # g[0] lies against line `first`
-                    lo, hi = max(0, first), min(len(h), first + len(g))
-                    off = np.flatnonzero(h[lo:hi] != g[lo - first : hi - first]) + lo
-                    for pos in np.frombuffer(x["pos"], np.int32).tolist():
-                        k = int(np.searchsorted(off, pos))
-                        a, e = (int(off[k - 1]) + 1 if k else lo), (int(off[k]) if k < len(off) else hi)
-                        if e > pos >= a and total[e] - total[a] >= min_words:
-                            spans.add((int(total[e] - total[a]), a, e, x["ref_id"]))
-                gone, ref = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
-                for _, a, e, r in sorted(spans):  # the longest last
-                    gone[a:e], ref[a:e] = True, r
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    start, stop = (0 if a == 0 else int(at[a])), (int(at[e]) if e < len(at) else -1)
-                    rows.append((d.as_py(), key.as_py(), a, e - a, int(total[e] - total[a]), start, stop, int(ref[a])))
-            columns = list(zip(*rows)) if rows else [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "first_line", "n_lines", "n_words", "start", "end", "ref_id"])
-
-    own = arrays.dropDuplicates(["doc_id", "key"])
-    whole = met.join(own, ["doc_id", "key"]).select("doc_id", "key", "met", "h", "n", "at")
+        for b, of, hit in _met(batches):
+            n, m = _flat(b.column(5), np.int32)
+            at, _ = _flat(b.column(6), np.int32)
+            row, base = np.repeat(np.arange(len(b)), m), np.cumsum(m) - m
+            words, last = np.append(0, np.cumsum(n)), base + m
+            a, e = base[of] + hit["a"], base[of] + hit["e"]
+            gone = np.zeros(len(n) + 1, np.int64)
+            np.add.at(gone, a, 1)
+            np.add.at(gone, e, -1)
+            gone = np.cumsum(gone[:-1]) > 0
+            edge = row[1:] != row[:-1]
+            start = np.flatnonzero(gone & np.append(True, edge | ~gone[:-1]))
+            end = np.flatnonzero(gone & np.append(edge | ~gone[1:], True)) + 1
+            run = np.searchsorted(start, a, "right") - 1
+            order = np.lexsort((hit["ref"], e - a, run))  # the longest last
+            ref = hit["ref"][order][np.searchsorted(run[order], np.arange(len(start)), "right") - 1]
+            r = row[start]
+            first = base[r]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(2).take(pa.array(r)), b.column(3).take(pa.array(r)), pa.array((start - first).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(words[end] - words[start]),
+                 pa.array(np.where(start == first, 0, at[start]).astype(np.int64)), pa.array(np.where(end == last[r], -1, at[np.minimum(end, len(at) - 1)]).astype(np.int64)), pa.array(ref)],
+                ["doc_id", "key", "first_line", "n_lines", "n_words", "start", "end", "ref_id"],
+            )
+
+    whole = _sorted(ends.union(longer.where(F.col("kind") == LINES)), buckets)
     return whole.mapInArrow(merge, "doc_id long, key long, first_line int, n_lines int, n_words long, start long, end long, ref_id long")
 
 

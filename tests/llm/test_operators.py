@@ -437,6 +437,71 @@ def test_line_dedup(spark):
     assert repeated_runs(docs.limit(0)).count() == 0
 
 
+def brute_runs(rows, window, long, least):
+    """(lines that some earlier equal run of `least` words or more covers, those of them that are guaranteed)."""
+    import pyarrow as pa
+
+    import xxhash
+
+    key = lambda t: (xxhash.xxh64(t, seed=42).intdigest() ^ 2**63) - 2**63
+    docs = []
+    for i, t in sorted({x for x in rows if x[0] is not None and x[1]}, key=lambda x: (x[0], key(x[1]))):
+        h, n, _, _ = cut_lines_of(pa.array([t]))
+        docs.append((i, h.tolist(), n.tolist()))
+    every, sure = set(), set()
+    for x, (i, h, n) in enumerate(docs):
+        for y, (j, g, _) in enumerate(docs[: x + 1]):
+            for d in range(-len(g) + 1, len(h)):  # h[p] against g[p - d]
+                p = max(0, d)
+                while p < min(len(h), len(g) + d):
+                    e = p
+                    while e < min(len(h), len(g) + d) and h[e] == g[e - d]:
+                        e += 1
+                    if e > p and sum(n[p:e]) >= least and (x != y or d > 0):
+                        every.update((i, k) for k in range(p, e))
+                        starts = sum(sum(n[k:e]) >= least for k in range(p, e))
+                        if starts >= window or max(n[p:e]) >= long:
+                            sure.update((i, k) for k in range(p, e))
+                    p = max(e, p + 1)
+    return every, sure
+
+
+def cut_lines_of(column):
+    from corvane.llm.line_dedup import cut_lines
+
+    return cut_lines(*C.text_buffer(column))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_finds_all_runs(spark, seed, monkeypatch):
+    """Against all pairs of documents, with lines that also stand alone in earlier documents."""
+    from corvane.llm import line_dedup as L
+
+    if seed % 2:
+        monkeypatch.setattr(L, "HELD", 60)  # many small flushes, so that copies meet in buckets too
+    r = random.Random(seed)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([1, 2, 3, 6, 6, 9, 11, 13]))) + "\n"
+    pool = [line() for _ in range(60)]
+    passages = [[r.choice(pool) for _ in range(r.randrange(2, 12))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            kind = r.randrange(4)
+            x = r.choice(passages)
+            a = r.randrange(len(x))
+            parts += [line()] if kind == 0 else [r.choice(pool)] if kind == 1 else x if kind == 2 else x[a : a + 5]
+        rows.append((i if i else 7, "".join(parts)))
+    six = [" ".join(f"p{k}_{m}" for m in range(6)) + ".\n" for k in range(6)]
+    rows += [(1000 + k, f"alone {k}.\n{x}") for k, x in enumerate(six)] + [(2000, "before.\n" + "".join(six)), (2001, "after.\n" + "".join(six))]
+    every, sure = brute_runs(rows, L.WINDOW, L.LONG, L.MIN_WORDS)
+    got = set()
+    for x in L.repeated_runs(frame(spark, rows)).collect():
+        got.update((x.doc_id, k) for k in range(x.first_line, x.first_line + x.n_lines))
+    assert sure <= got <= every and len(sure) > 100
+    assert {(2001, k) for k in range(1, 7)} <= got
+
+
 def test_topk(spark):
     from corvane.llm.topk import search
 
