@@ -413,6 +413,28 @@ def test_lm_models_hold_every_pair(spark, monkeypatch):
     assert L._bits(docs.select("text")) > L.LEAST_BITS
 
 
+def test_hypergeometric_draws(monkeypatch):
+    """Chi-square of many draws against the law, by numpy and by inversion; sums for sizes that numpy refuses."""
+    from math import comb
+
+    from corvane.llm import sharding as S
+
+    for side in (S.SIDE, 1):
+        monkeypatch.setattr(S, "SIDE", side)
+        draw = np.random.default_rng(5)
+        for good, bad, n in ((9, 14, 8), (30, 5, 20), (3, 50, 2), (6, 6, 12)):
+            got = np.bincount([S._taken(draw, good, bad, n) for _ in range(4000)], minlength=n + 1)
+            want = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) * 4000 for k in range(n + 1)])
+            assert got[want == 0].sum() == 0
+            big = want > 5
+            assert ((got - want)[big] ** 2 / want[big]).sum() < 40
+    monkeypatch.undo()
+    counts = [3 * 10**10, 10**10 + 7, 5, 0, 6 * 10**9]
+    sent, size = S.matrix(counts, 7, 3)
+    assert sent.sum(1).tolist() == counts and sent.sum(0).tolist() == size.tolist() and sent.min() >= 0
+    assert abs(sent[0, 0] - counts[0] / 7) < 10 * (counts[0] / 7) ** 0.5
+
+
 def test_line_dedup(spark):
     from corvane.llm.line_dedup import cut_lines, dedup_lines, repeated_runs
 
