@@ -27,6 +27,7 @@ each get a row.  Extra columns are ignored.  An empty table gives an empty resul
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from corvane.llm import common as C
 MAX_MATCH = 8
 SMALL = 16
 PIVOTS = 3
-#: Frequent shingles kept for ordering and cost: 12 bytes each, so 3 MB at most.
-FREQUENT = 1 << 18
+#: Frequent shingles kept for ordering and cost: 12 bytes each, so 12 MB at most.
+FREQUENT = 1 << 20
 #: Postings a verification costs as much as.
 VERIFY_COST = 40.0
 #: Members of one posting list that one bucket holds, about; longer lists are salted.
@@ -184,9 +185,36 @@ class Order:
         return ids[: first + l - 1], section, l, central, c[: first + l - 1]
 
 
+#: Postings that a task holds before it sends them on.
+HELD = 1_000_000
+
 POSTING = np.dtype([("h", U), ("sig", np.int64), ("n", np.uint32), ("l", np.uint8), ("s", np.uint8), ("cent", np.uint8), ("salt", np.uint8)])
 
 
+def _pack(p: np.ndarray) -> bytes:
+    """Postings by node, column by column: the upper 48 bits of hashes as they are, and what a node's postings have in
+    common compressed.  With the bucket, which is of the whole hash, more than 48 bits tell shingles apart; sets are
+    compared by all 64."""
+    p = p[np.argsort(p["sig"], kind="stable")]
+    sig, h = p["sig"].copy(), p["h"].copy()
+    sig[1:] -= p["sig"][:-1]
+    planes = [sig.view(np.uint8).reshape(-1, 8).T.tobytes(), p["n"].copy().view(np.uint8).reshape(-1, 4).T.tobytes()]
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + zlib.compress(b"".join(planes + [p[c].tobytes() for c in ("l", "s", "cent", "salt")]), 1)
+
+
+def _unpack(n: int, packed: bytes) -> np.ndarray:
+    p = np.zeros(n, POSTING)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, 2:] = np.frombuffer(packed, np.uint8, 6 * n).reshape(n, 6)
+    p["h"] = h.view(U)[:, 0]
+    rest = np.frombuffer(zlib.decompress(memoryview(packed)[6 * n :]), np.uint8)
+    p["sig"] = np.cumsum(rest[: 8 * n].reshape(8, n).T.copy().view(np.int64)[:, 0])
+    p["n"] = rest[8 * n : 12 * n].reshape(4, n).T.copy().view(np.uint32)[:, 0]
+    for i, c in enumerate(("l", "s", "cent", "salt")):
+        p[c] = rest[(12 + i) * n : (13 + i) * n]
+    return p
+
+
 def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) -> DataFrame:
     def run(batches):
         table = Order(*order.value, percent)
@@ -199,7 +227,7 @@ def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) ->
             k = ((C.mix(p["h"] + p["salt"].astype(U)) >> U(32)) * U(buckets)) >> U(32)
             by = np.argsort(k, kind="stable")
             p, edge = p[by], np.searchsorted(k[by], np.arange(buckets + 1).astype(U))
-            return _rows([(i, p[edge[i] : edge[i + 1]].tobytes()) for i in range(buckets) if edge[i + 1] > edge[i]], "k p", [pa.int32(), pa.binary()])
+            return _rows([(i, int(edge[i + 1] - edge[i]), _pack(p[edge[i] : edge[i + 1]])) for i in range(buckets) if edge[i + 1] > edge[i]], "k n p", [pa.int32(), pa.int32(), pa.binary()])
 
         for b in batches:
             raw, at = C.text_buffer(b.column(0))
@@ -216,13 +244,13 @@ def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) ->
                     p["salt"] = np.where(c > LIST_SHARE, 1 + (sig % 251) % np.clip(c // LIST_SHARE, 1, 250), 0)
                 held.append(p)
                 weight += len(h)
-            if weight > 500_000:
+            if weight > HELD:
                 yield flush()
                 weight = 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "k int, p binary").repartition(buckets, "k")
+    return docs.select("text").mapInArrow(run, "k int, n int, p binary").repartition(buckets, "k")
 
 
 def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -235,7 +263,11 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     pivot.  kind 2: member (list x, node y) of a wide list, with n, l, section and centrality."""
 
     def run(batches):
-        got = [np.frombuffer(x, POSTING) for b in batches for x in b.column("p").to_pylist()]
+        got = []
+        for b in batches:
+            for k, n, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                got.append(_unpack(n, x))
+                got[-1]["h"] |= U(k & 0xFFFF)  # lists of different buckets stay apart
         if not got:
             return
         p = np.concatenate(got)
@@ -300,7 +332,7 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
     # One document stands for each set.  Only those are read again, told by a bounded filter; the few others
     # that pass it find no pair, or repeat one.
     keepers = digest.where("n > 0 AND doc_id IS NOT NULL").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    bloom = spark.sparkContext.broadcast(C.bloom_of(keepers.select("doc_id")))
+    bloom = spark.sparkContext.broadcast(C.bloom_of(C.cut(keepers.select("doc_id"))))
 
     def sets(batches):
         bits = C.bloom_bits(bloom.value)
@@ -376,14 +408,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     # All that two sets share beyond the shorter-reaching prefix lies in one suffix of tau - l shingles, so a
     # pair needs as many matches as its overlap must exceed that by.  Pairs that also meet in a wide list
     # have matches that are not counted here; the wide lists find them.
+    # A pair of a wide list with a pivot waits for those too, unless the lists seen here bear it out by half.
     tau = f"ceil({percent} * greatest(nx, ny) / 100)"
-    enough = f"c >= greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)"
-    matches = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
-    small = matches.where(enough)
-    pairs = C.cut(small.select("x", "y").union(made.where("kind = 1").select("x", "y")).distinct())
+    enough = f"greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)"
+    of_pair = (F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
+    counted = made.where("kind < 2").groupBy("x", "y").agg(F.sum(F.expr("if(kind = 0, c, 0)")).alias("c"), F.sum(F.expr("if(kind = 1, c, 0)")).alias("pivot"), *of_pair)
+    pairs = C.cut(counted.where(f"c >= {enough} OR pivot > 0 AND 2 * (c + pivot) >= {enough}").select("x", "y"))
     links = C.cut(_verify(docs, digest, pairs, percent, size))
     roots = C.cut(C.components(links.toDF("a", "b")))
 
+    matches = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"))
     wide = made.where("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("sig"), F.col("c").alias("n"), "l", "s", "cent")
     for last in (False, True):
         member = wide.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -394,7 +428,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             best = member.groupBy("h").agg(F.max_by(F.struct("root", "sig", "n", "l", "s"), F.struct("cent", "n", "sig")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}2") for c in ("root", "sig", "n", "l", "s")))
             met = member.join(best, "h").where("root <> root2")
         else:
-            met = _met(C.cut(member), matches, percent)
+            member = C.cut(member)
+            here = member.select("sig").distinct()
+            matches = C.cut(matches.join(here.withColumnRenamed("sig", "x"), "x", "left_semi").join(here.withColumnRenamed("sig", "y"), "y", "left_semi"))
+            met = _met(member, matches, percent)
         met = met.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND greatest(s, s2) <= least(l, l2)")
         if not last:
             met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
@@ -406,7 +443,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             )
             met = met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
             rest = matches.select("x", "y", F.col("c").alias("c2"))
-            met = met.join(rest, ["x", "y"], "left").withColumn("c", F.col("c") + F.coalesce("c2", F.lit(0))).where(enough).select("x", "y")
+            met = met.join(rest, ["x", "y"], "left").withColumn("c", F.col("c") + F.coalesce("c2", F.lit(0))).where(f"c >= {enough}").select("x", "y")
         more = C.cut(met.join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             continue
