@@ -11,13 +11,17 @@ threshold; the result is each document's connected component under those links.
     MAX_MATCH) of least estimated cost: the postings it meets plus the expected verifications, which
     fall as 1/l because a candidate must share l shingles.  Its prefix has that length; a pair goes
     by the smaller l of the two.
-    Beyond that, a pair's matches must make up what its sizes ask for above the suffixes' length.
+    More than that, a pair of n and m shingles must have o = ceil(t (n + m) / (1 + t)) in common, so for any c its first
+    c common shingles lie in the first n - o + c and m - o + c.  With the largest c that both prefixes reach, only
+    matches at such places count, and there must be c of them.
 4.  Prefix postings travel packed (arrays, not rows) to buckets of the shingle hash.  In lists of at
     most SMALL members all pairs count one match each.  In wider lists each member is only paired
     with a few pivots, the members with the most frequent shingles; whole lists come back in step 6.
 5.  Candidate pairs are verified exactly by merging both shingle sets; links are joined to components.
-6.  Wide lists whose members all lie in one component need no more work.  In the others every pair of
-    members of different components is verified, first against one representative a component.
+6.  Wide lists whose members all lie in one component need no more work.  In the others one representative of each
+    component is verified against the list's most central one.  Then members of different components meet, each
+    from its shortest lists on, as far as it can still have the matches it needs; what their sketches tell apart
+    never becomes a row, the rest is verified.
 
 Nulls and texts without words: no shingles, linked with nothing, the component is the own doc_id.
 A null doc_id stays in the result with a null component and links nothing.  Repeated rows
@@ -26,12 +30,11 @@ each get a row.  Extra columns are ignored.  An empty table gives an empty resul
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import common as C
@@ -43,14 +46,24 @@ PIVOTS = 3
 FREQUENT = 1 << 20
 #: Postings a verification costs as much as.
 VERIFY_COST = 40.0
+#: Bits of a node's sketch.
+SKETCH = 1024
 #: Members of one posting list that one bucket holds, about; longer lists are salted.
 LIST_SHARE = 20_000
 
 U = np.uint64
 
 
+def sketch(ids: np.ndarray) -> np.ndarray:
+    """SKETCH bits, those set that some shingle falls on.  Each bit that another set's sketch lacks is a shingle at
+    least that it lacks."""
+    bits = np.zeros(SKETCH, bool)
+    bits[(ids >> U(20)) & U(SKETCH - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _digest(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sig) of each row, and the packed local counts of shingles met twice or more."""
+    """(doc_id, n, sig, bits) of each row, and the packed local counts of shingles met twice or more."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -63,28 +76,31 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
             h, c = h[c > 1], c[c > 1]
             return (h.tobytes(), c.astype(np.uint32).tobytes()) if len(h) else None
 
-        def out(ids, ns, sigs, counts):
+        def out(ids, ns, sigs, bits, counts):
             k = len(ids)
             extra = [counts] if counts else []
+            offsets = np.append(np.arange(k + 1), [k] * len(extra)).astype(np.int32) * (SKETCH // 64)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(len(extra), pa.int64())]),
                     pa.array(list(ns) + [None] * len(extra), pa.int64()),
                     pa.array(list(sigs) + [None] * len(extra), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.reshape(-1))),
                     pa.array([None] * k + [x[0] for x in extra], pa.binary()),
                     pa.array([None] * k + [x[1] for x in extra], pa.binary()),
                 ],
-                ["doc_id", "n", "sig", "hot", "hot_n"],
+                ["doc_id", "n", "sig", "bits", "hot", "hot_n"],
             )
 
         seen: set[int] = set()
         weight = 0
         for b in batches:
             raw, at = C.text_buffer(b.column(1))
-            ns, sigs = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            ns, sigs, bits = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros((len(b), SKETCH // 64), np.int64)
             for r, ids in C.shingle_sets(raw, at, size):
                 ns[r] = len(ids)
                 sigs[r] = C.signature(ids) if len(ids) else 0
+                bits[r] = sketch(ids)
                 if len(ids) and sigs[r] not in seen:  # copies would only add noise to the counts
                     if len(seen) > 200_000:
                         seen.clear()
@@ -94,11 +110,11 @@ def _digest(docs: DataFrame, size: int) -> DataFrame:
             counts = None
             if weight > 2_000_000:
                 counts, weight = repeated(), 0
-            yield out(b.column(0), ns.tolist(), sigs.tolist(), counts)
+            yield out(b.column(0), ns.tolist(), sigs.tolist(), bits, counts)
         if counts := repeated():
-            yield out(pa.nulls(0, pa.int64()), [], [], counts)
+            yield out(pa.nulls(0, pa.int64()), [], [], np.zeros(0, np.int64), counts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, hot binary, hot_n binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, bits array<long>, hot binary, hot_n binary")
 
 
 def _frequent(packed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +180,8 @@ class Order:
             out[at[hit]] = self.c[p[hit]]
         return out
 
-    def prefix(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int, np.ndarray]:
-        """(shingles, section of each from 1, l, centrality 0-255, counts): the first n - tau + l in order."""
+    def prefix(self, ids: np.ndarray) -> tuple[np.ndarray, int, int, np.ndarray]:
+        """(shingles, l, centrality 0-255, counts): the first n - tau + l in order."""
         n = len(ids)
         tau = -(-self.percent * n // 100)
         c = self.counts(ids)
@@ -175,20 +191,19 @@ class Order:
         first = n - tau + 1
         if not central and not hot.any() or n - int(hot.sum()) >= first + most - 1:
             ids = ids[~hot][:first]
-            return ids, np.ones(len(ids), np.uint8), 1, central, np.ones(len(ids), np.int64)
+            return ids, 1, central, np.ones(len(ids), np.int64)
         order = np.concatenate([np.flatnonzero(~hot), np.flatnonzero(hot)[np.lexsort((ids[hot], c[hot]))]])
         ids, c = ids[order][: first + most - 1], c[order][: first + most - 1]
         met = np.cumsum(c)[first - 1 :]
         steps = np.arange(1, len(met) + 1)
         l = 1 + int(np.argmin(met + VERIFY_COST * (met - np.arange(first, first + len(met))) / steps))
-        section = np.maximum(np.arange(first + l - 1) - first + 2, 1).astype(np.uint8)
-        return ids[: first + l - 1], section, l, central, c[: first + l - 1]
+        return ids[: first + l - 1], l, central, c[: first + l - 1]
 
 
 #: Postings that a task holds before it sends them on.
 HELD = 1_000_000
 
-POSTING = np.dtype([("h", U), ("sig", np.int64), ("n", np.uint32), ("l", np.uint8), ("s", np.uint8), ("cent", np.uint8), ("salt", np.uint8)])
+POSTING = np.dtype([("h", U), ("sig", np.int64), ("n", np.uint32), ("at", np.uint32), ("l", np.uint8), ("cent", np.uint8), ("salt", np.uint8)])
 
 
 def _pack(p: np.ndarray) -> bytes:
@@ -198,8 +213,8 @@ def _pack(p: np.ndarray) -> bytes:
     p = p[np.argsort(p["sig"], kind="stable")]
     sig, h = p["sig"].copy(), p["h"].copy()
     sig[1:] -= p["sig"][:-1]
-    planes = [sig.view(np.uint8).reshape(-1, 8).T.tobytes(), p["n"].copy().view(np.uint8).reshape(-1, 4).T.tobytes()]
-    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + zlib.compress(b"".join(planes + [p[c].tobytes() for c in ("l", "s", "cent", "salt")]), 1)
+    planes = [sig.view(np.uint8).reshape(-1, 8).T.tobytes(), *(p[c].copy().view(np.uint8).reshape(-1, 4).T.tobytes() for c in ("n", "at"))]
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + zlib.compress(b"".join(planes + [p[c].tobytes() for c in ("l", "cent", "salt")]), 1)
 
 
 def _unpack(n: int, packed: bytes) -> np.ndarray:
@@ -210,8 +225,9 @@ def _unpack(n: int, packed: bytes) -> np.ndarray:
     rest = np.frombuffer(zlib.decompress(memoryview(packed)[6 * n :]), np.uint8)
     p["sig"] = np.cumsum(rest[: 8 * n].reshape(8, n).T.copy().view(np.int64)[:, 0])
     p["n"] = rest[8 * n : 12 * n].reshape(4, n).T.copy().view(np.uint32)[:, 0]
-    for i, c in enumerate(("l", "s", "cent", "salt")):
-        p[c] = rest[(12 + i) * n : (13 + i) * n]
+    p["at"] = rest[12 * n : 16 * n].reshape(4, n).T.copy().view(np.uint32)[:, 0]
+    for i, c in enumerate(("l", "cent", "salt")):
+        p[c] = rest[(16 + i) * n : (17 + i) * n]
     return p
 
 
@@ -237,9 +253,9 @@ def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) ->
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sig)
-                h, s, l, cent, c = table.prefix(ids)
+                h, l, cent, c = table.prefix(ids)
                 p = np.zeros(len(h), POSTING)
-                p["h"], p["s"], p["sig"], p["n"], p["l"], p["cent"] = h, s, sig, len(ids), l, cent
+                p["h"], p["at"], p["sig"], p["n"], p["l"], p["cent"] = h, np.arange(len(h)), sig, len(ids), l, cent
                 if c[-1] > LIST_SHARE:  # counts rise along the prefix
                     p["salt"] = np.where(c > LIST_SHARE, 1 + (sig % 251) % np.clip(c // LIST_SHARE, 1, 250), 0)
                 held.append(p)
@@ -253,14 +269,18 @@ def _postings(docs: DataFrame, order, percent: int, size: int, buckets: int) ->
     return docs.select("text").mapInArrow(run, "k int, n int, p binary").repartition(buckets, "k")
 
 
-def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    small, large = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
-    return (100 * small >= percent * large) & (np.maximum(a["s"], b["s"]) <= np.minimum(a["l"], b["l"])) & (a["sig"] != b["sig"])
+def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which matches of a and b count, the number of matches that their nodes need)."""
+    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    both = -(-percent * (n + m) // (100 + percent))
+    need = both + np.minimum(a["l"] + percent * -n // 100, b["l"] + percent * -m // 100)
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (a["sig"] != b["sig"])
+    return ok & (a["at"] < n - both + need) & (b["at"] < m - both + need), need
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pair (x, y) with its matches here, l and both set sizes.  kind 1: pair of a wide list with a
-    pivot.  kind 2: member (list x, node y) of a wide list, with n, l, section and centrality."""
+    """kind 0: pair (x, y) with its matches c here and the l that it needs.  kind 1: pair of a wide list with a pivot,
+    alike.  kind 2: member (list x, node y) of a wide list, with its size c, l, place and centrality."""
 
     def run(batches):
         got = []
@@ -277,17 +297,14 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         p = p[np.concatenate([[True], ~(same & (p["sig"][1:] == p["sig"][:-1]))])]
         starts = np.flatnonzero(np.concatenate([[True], (p["h"][1:] != p["h"][:-1]) | (p["salt"][1:] != p["salt"][:-1])]))
         lens = np.diff(np.append(starts, len(p)))
-        xs, ys, ls, kinds, nx, ny = [], [], [], [], [], []
+        xs, ys, ls, kinds = [], [], [], []
 
         def add(a, b, kind):
-            ok = _fits(a, b, percent)
+            ok, need = _fits(a, b, percent)
             a, b = a[ok], b[ok]
             xs.append(np.minimum(a["sig"], b["sig"]))
             ys.append(np.maximum(a["sig"], b["sig"]))
-            ls.append(np.minimum(a["l"], b["l"]))
-            first = a["sig"] < b["sig"]
-            nx.append(np.where(first, a["n"], b["n"]))
-            ny.append(np.where(first, b["n"], a["n"]))
+            ls.append(need[ok])
             kinds.append(np.full(len(a), kind, np.int8))
 
         for m in range(2, SMALL + 1):
@@ -301,28 +318,28 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             for i in rank[:PIVOTS]:
                 add(np.repeat(g[i : i + 1], m), g, 1)
         if xs:
-            x, y, l, kind, n_x, n_y = (np.concatenate(v) for v in (xs, ys, ls, kinds, nx, ny))
+            x, y, l, kind = (np.concatenate(v) for v in (xs, ys, ls, kinds))
             if len(x):
                 by = np.lexsort((kind, y, x))
-                x, y, l, kind, n_x, n_y = x[by], y[by], l[by], kind[by], n_x[by], n_y[by]
+                x, y, l, kind = x[by], y[by], l[by], kind[by]
                 new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (kind[1:] != kind[:-1])]))
                 count = np.diff(np.append(new, len(x)))
-                yield from _out(kind[new], x[new], y[new], count, l[new], n_x[new], n_y[new])
+                yield from _out(kind[new], x[new], y[new], count, l[new])
         wide = np.repeat(lens > SMALL, lens)
         if wide.any() or (p["salt"] > 0).any():
             g = p[wide | (p["salt"] > 0)]
-            yield from _out(np.full(len(g), 2, np.int8), g["h"].view(np.int64), g["sig"], g["n"], g["l"], g["s"], g["cent"])
+            yield from _out(np.full(len(g), 2, np.int8), g["h"].view(np.int64), g["sig"], g["n"], g["l"], g["at"], g["cent"])
 
-    def _out(kind, x, y, c, l, s=None, cent=None):
+    def _out(kind, x, y, c, l, at=None, cent=None):
         zero = np.zeros(len(x), np.int32)
         for i in range(0, len(x), 100_000):
             j = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind[j]), pa.array(x[j], pa.int64()), pa.array(y[j], pa.int64()), pa.array(c[j].astype(np.int64)), pa.array(l[j].astype(np.int32)), pa.array((zero if s is None else s.astype(np.int32))[j]), pa.array((zero if cent is None else cent.astype(np.int32))[j])],
-                ["kind", "x", "y", "c", "l", "s", "cent"],
+                [pa.array(kind[j]), pa.array(x[j], pa.int64()), pa.array(y[j], pa.int64()), pa.array(c[j].astype(np.int64)), pa.array(l[j].astype(np.int32)), pa.array((zero if at is None else at.astype(np.int32))[j]), pa.array((zero if cent is None else cent.astype(np.int32))[j])],
+                ["kind", "x", "y", "c", "l", "at", "cent"],
             )
 
-    return postings.mapInArrow(run, "kind byte, x long, y long, c long, l int, s int, cent int")
+    return postings.mapInArrow(run, "kind byte, x long, y long, c long, l int, at int, cent int")
 
 
 def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -370,29 +387,31 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
     return left.join(found.select(F.col("sig").alias("y"), F.col("ids").alias("ids_y")), "y").mapInArrow(test, "x long, y long")
 
 
-def _met(member: DataFrame, matches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one open list and different components that can have enough matches.
+def _met(member: DataFrame, matches: DataFrame, digest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one open list and different components that may be similar, by their places in the list,
+    the matches that they can have, and their sketches.
 
-    A node has at most `cap` matches with any other: its open lists, and the most that one pair of small lists
-    gave it.  Pairs of like size need many matches, those at the ends of the size range few; so a node looks
-    only among the size classes where cap suffices.  Nodes whose prefix is mostly their own, as of a text that
-    holds a widely shared passage, or of a copy with too many changes, look hardly anywhere."""
-    t, step = percent / 100, math.log(1.08)
-    o = t / (1 + t)  # overlap that two sets of sizes a, b need: o (a + b)
+    A node has at most `cap` matches with any other from a list on, taking its lists from the shortest to the
+    longest: those lists, and the most that one pair of small lists gave it.  Two nodes that need more meet in a
+    shorter list, or nowhere.  A pair that shares too little is told by sketches before it becomes a row."""
     best = matches.select(F.col("x").alias("sig"), "c").union(matches.select("y", "c")).groupBy("sig").agg(F.max("c").alias("most"))
-    caps = member.groupBy("sig").agg(F.count("*").alias("lists")).join(best, "sig", "left")
-    caps = caps.select("sig", (F.col("lists") + F.coalesce("most", F.lit(0))).alias("cap"))
-    n, cap = F.col("n"), F.col("cap")
-    # need(n, m) = o (n + m) - t max(n, m) + 1, less one for roundings, is at most cap up to `low` and from `high` on
-    low = (cap + 1 + (t - o) * n) / o
-    high = (o * n - 1 - cap) / (t - o)
-    size = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / step).cast("int")
-    classes = F.sequence(size(t * n), size(n / t))
-    fits = F.filter(classes, lambda b: (F.exp(b * step) <= low) | (F.exp((b + 1) * step) >= high))
-    rows = member.join(caps, "sig").withColumn("classes", fits).withColumn("class", size(n.cast("double")))
-    other = rows.select("h", F.col("class").alias("to"), *(F.col(c).alias(f"{c}2") for c in ("root", "sig", "n", "l", "s", "classes")))
-    met = rows.withColumn("to", F.explode("classes")).join(other, ["h", "to"])
-    return met.where("root < root2 AND array_contains(classes2, class)")
+    ranked = member.join(member.groupBy("h").agg(F.count("*").alias("size")), "h")
+    ranked = ranked.withColumn("left", F.count("*").over(Window.partitionBy("sig").orderBy(F.desc("size"), "h")))
+    bits = digest.join(member.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("bits").alias("bits"))
+    rows = ranked.join(best, "sig", "left").join(bits, "sig").withColumn("cap", F.col("left") + F.coalesce("most", F.lit(0)))
+    rows = C.cut(rows.select("h", "root", "sig", "n", "k", "u", "cap", "bits"))
+    met = rows.join(rows.select("h", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "h")), "h")
+    both = f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
+    lacks = " + ".join(f"bit_count(bits[{i}] & ~bits2[{i}])" for i in range(SKETCH // 64))
+    return met.where(f"root < root2 AND {_COUNTS} AND 100 * n >= {percent} * n2 AND 100 * n2 >= {percent} * n AND {both} + least(k, k2) <= least(cap, cap2) AND n - ({lacks}) >= {both}")
+
+
+#: _fits in SQL, with k = l - ceil(t n) and u = place - n: a match counts where u < min(k, k2), and u < k always holds.
+_COUNTS = "u < k2 AND u2 < k"
+
+
+def _placed(rows: DataFrame, percent: int) -> DataFrame:
+    return rows.withColumn("k", F.expr(f"l - (({percent} * n + 99) div 100)")).withColumn("u", F.expr("at - n"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -401,49 +420,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     spark = docs.sparkSession
     buckets = C.shuffle_width(spark)
     both = C.cut(_digest(docs, size))
-    digest = both.where("hot IS NULL").select("doc_id", "n", "sig")
+    digest, sketches = both.where("hot IS NULL").select("doc_id", "n", "sig"), both.where("n > 0").select("sig", "bits")
     order = spark.sparkContext.broadcast(_frequent(both.where("hot IS NOT NULL").select("hot", "hot_n"), buckets))
     made = C.cut(_candidates(_postings(docs, order, percent, size, buckets), percent))
 
-    # All that two sets share beyond the shorter-reaching prefix lies in one suffix of tau - l shingles, so a
-    # pair needs as many matches as its overlap must exceed that by.  Pairs that also meet in a wide list
-    # have matches that are not counted here; the wide lists find them.
-    # A pair of a wide list with a pivot waits for those too, unless the lists seen here bear it out by half.
-    tau = f"ceil({percent} * greatest(nx, ny) / 100)"
-    enough = f"greatest(l, ceil({percent} * (nx + ny) / {100 + percent}) - {tau} + l)"
-    of_pair = (F.max("l").alias("l"), F.max("s").alias("nx"), F.max("cent").alias("ny"))
-    counted = made.where("kind < 2").groupBy("x", "y").agg(F.sum(F.expr("if(kind = 0, c, 0)")).alias("c"), F.sum(F.expr("if(kind = 1, c, 0)")).alias("pivot"), *of_pair)
-    pairs = C.cut(counted.where(f"c >= {enough} OR pivot > 0 AND 2 * (c + pivot) >= {enough}").select("x", "y"))
+    # Pairs that also meet in a wide list have matches that are not counted here; the wide lists find them.  A pair
+    # of a wide list with a pivot waits for those too, unless what is seen here bears it out by half.
+    counted = made.where("kind < 2").groupBy("x", "y").agg(F.sum(F.expr("if(kind = 0, c, 0)")).alias("c"), F.sum(F.expr("if(kind = 1, c, 0)")).alias("pivot"), F.max("l").alias("l"))
+    pairs = C.cut(counted.where("c >= l OR pivot > 0 AND 2 * (c + pivot) >= l").select("x", "y"))
     links = C.cut(_verify(docs, digest, pairs, percent, size))
     roots = C.cut(C.components(links.toDF("a", "b")))
 
     matches = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"))
-    wide = made.where("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("sig"), F.col("c").alias("n"), "l", "s", "cent")
+    wide = made.where("kind = 2").select(F.col("x").alias("h"), F.col("y").alias("sig"), F.col("c").alias("n"), "l", "at", "cent")
     for last in (False, True):
-        member = wide.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        member = _placed(wide, percent).join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         open_ = member.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         member = member.join(open_, "h", "left_semi")
         if not last:  # a representative of each component against the most central one of the list
-            member = member.groupBy("h", "root").agg(F.max_by(F.struct("sig", "n", "l", "s", "cent"), F.struct("cent", F.xxhash64("sig"))).alias("m")).select("h", "root", "m.*")
-            best = member.groupBy("h").agg(F.max_by(F.struct("root", "sig", "n", "l", "s"), F.struct("cent", "n", "sig")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}2") for c in ("root", "sig", "n", "l", "s")))
-            met = member.join(best, "h").where("root <> root2")
+            member = member.groupBy("h", "root").agg(F.max_by(F.struct("sig", "n", "k", "u", "cent"), F.struct("cent", F.xxhash64("sig"))).alias("m")).select("h", "root", "m.*")
+            best = member.groupBy("h").agg(F.max_by(F.struct("root", "sig", "n", "k", "u"), F.struct("cent", "n", "sig")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}2") for c in ("root", "sig", "n", "k", "u")))
+            met = member.join(best, "h").where(f"root <> root2 AND {_COUNTS} AND 100 * least(n, n2) >= {percent} * greatest(n, n2)")
         else:
             member = C.cut(member)
             here = member.select("sig").distinct()
-            matches = C.cut(matches.join(here.withColumnRenamed("sig", "x"), "x", "left_semi").join(here.withColumnRenamed("sig", "y"), "y", "left_semi"))
-            met = _met(member, matches, percent)
-        met = met.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND greatest(s, s2) <= least(l, l2)")
-        if not last:
-            met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
-        else:  # all lists that hold both are open, so with the small lists' matches the count is whole
-            turned = F.col("sig") < F.col("sig2")
-            met = met.select(
-                F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y"), F.lit(1).cast("long").alias("c"), F.least("l", "l2").alias("l"),
-                F.when(turned, F.col("n")).otherwise(F.col("n2")).alias("nx"), F.when(turned, F.col("n2")).otherwise(F.col("n")).alias("ny"),
-            )
-            met = met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("l").alias("l"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-            rest = matches.select("x", "y", F.col("c").alias("c2"))
-            met = met.join(rest, ["x", "y"], "left").withColumn("c", F.col("c") + F.coalesce("c2", F.lit(0))).where(f"c >= {enough}").select("x", "y")
+            matches = matches.join(here.withColumnRenamed("sig", "x"), "x", "left_semi").join(here.withColumnRenamed("sig", "y"), "y", "left_semi")
+            met = _met(member, matches, sketches, percent)
+        met = met.select(F.least("sig", "sig2").alias("x"), F.greatest("sig", "sig2").alias("y")).distinct()
         more = C.cut(met.join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             continue

@@ -131,8 +131,8 @@ def test_near_duplicates_in_wide_lists(spark, monkeypatch):
 
 
 def test_prefixes_share_as_promised():
-    """Any two linked sets share l shingles within their l-prefixes, and reach the asked number of matches."""
-    from corvane.llm.ngram_join import Order
+    """Any two linked sets reach the asked number of matches at places that count."""
+    from corvane.llm.ngram_join import POSTING, Order, _fits, _pack, _unpack
 
     r = np.random.default_rng(1)
     for trial in range(60):
@@ -145,12 +145,17 @@ def test_prefixes_share_as_promised():
         both = len(np.intersect1d(base, other))
         if 100 * both < 75 * (len(base) + len(other) - both):
             continue
-        (a, sa, la, _, _), (b, sb, lb, _, _) = order.prefix(base), order.prefix(other)
-        l = min(la, lb)
-        shared = len(np.intersect1d(a[sa <= l], b[sb <= l]))
-        tau = -(-75 * max(len(base), len(other)) // 100)
-        need = -(-75 * (len(base) + len(other)) // 175) - tau + l
-        assert shared >= max(l, need)
+        sides = []
+        for x in (base, other):
+            ids, l, _, _ = order.prefix(x)
+            p = np.zeros(len(ids), POSTING)
+            p["h"], p["at"], p["n"], p["l"], p["sig"] = ids, np.arange(len(ids)), len(x), l, len(sides)
+            sides.append(p)
+        a, b = sides
+        _, i, j = np.intersect1d(a["h"], b["h"], return_indices=True)
+        ok, need = _fits(a[i], b[j], 75)
+        assert len(need) and ok.sum() >= need[0] >= min(a["l"][0], b["l"][0])
+        assert (_unpack(len(a), _pack(a))["h"] == a["h"] >> np.uint64(16) << np.uint64(16)).all()
 
 
 def test_leaks(spark):
