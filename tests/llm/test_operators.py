@@ -596,3 +596,29 @@ def test_near_judges_rows_that_share_an_id(spark):
     docs = frame(spark, [(1, a), (7, a), (7, b), (7, c), (7, c), (8, d), (9, d), (None, d)])
     got = sorted((x.doc_id, x.text) for x in P.near(spark, docs, SF).collect())
     assert got == sorted([(1, a), (7, b), (7, c), (8, d)])
+
+
+def test_pipeline_stages_with_odd_rows(spark, odd):
+    """Null and repeated ids, rows that share an id only, empty texts and tables, columns of their own."""
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = odd + [(None, f"some words ahead. {item} and after"), (7, f"again {item}"), (21, sentence(random.Random(77), 80)), (21, sentence(random.Random(78), 80))]
+    docs = frame(spark, rows)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name != "packing":
+            assert stage(spark, docs, SF).columns == docs.columns
+    as_pairs = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    sort = lambda x: sorted(x, key=str)
+    assert sort(as_pairs(P.leaks(spark, docs, SF))) == sort(x for x in rows if not x[1] or item not in x[1])
+    got = as_pairs(P.near(spark, docs, SF))
+    named = [(k, t) for k, (_, t) in enumerate(rows)]
+    root = brute_components(named)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(root[k], []).append((i is None, i or 0, t or "", i, t))
+    assert sort(got) == sort(min(g)[3:] for g in groups.values())
+    assert sort(x for x in as_pairs(P.lines(spark, docs, SF)) if x[0] is None) == sort(x for x in rows if x[0] is None and x[1] and x[1].strip())
+    pieces = P.packing(spark, docs, SF)
+    assert pieces.where("start = 0").count() == len(rows)
