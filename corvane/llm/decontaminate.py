@@ -10,7 +10,9 @@ with it, and their diagonals (place in the document less place in the item) spre
 2.  hits are counted by document, segment, band and stretch of the document;
 3.  bands that reach the lemma's bound are verified by banded alignment of the segment with the region.
 
-A document is contaminated by an item when one of the item's segments is verified.
+A document is contaminated by an item when one of the item's segments is verified.  Items under LEAST bytes, for which
+the lemma leaves no bound, are found as they are: their first q-gram (or, under q bytes, all of them) is looked up and
+the rest compared; the words around them must end where they begin and begin where they end.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from corvane.llm import common as C
 
 Q, RATE = 12, 0.05
 SEGMENT, STRIDE, MERGE = 100, 50, 130
-#: Shorter items cannot be told from chance and are not searched for.
+#: Shorter items allow no edit and must stand as whole words.
 LEAST = 40
+#: Hits that are counted at once.
+HITS = 1 << 21
 #: Bytes of benchmark text that one pass over the documents searches for (about 40 bytes of index for each).
 WAVE = 4 << 20
 
@@ -38,11 +42,12 @@ _KEEP[48:58] = _KEEP[97:123] = True
 _KEEP[128:] = True
 
 
-def squeeze(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters and digits in lower case, row offsets in them, where each stood in the lower-case text)."""
+def squeeze(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters and digits in lower case, row offsets in them, where each stood in the lower-case texts, row offsets
+    there)."""
     raw, at = C.text_buffer(pc.utf8_lower(column.fill_null("")))
     keep = np.flatnonzero(_KEEP[raw])
-    return raw[keep], np.searchsorted(keep, at), keep
+    return raw[keep], np.searchsorted(keep, at), keep, at
 
 
 def grams(raw: np.ndarray, q: int) -> np.ndarray:
@@ -58,20 +63,36 @@ def grams(raw: np.ndarray, q: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _found(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of g the first place in the sorted h, and how many are equal."""
+    lo = np.searchsorted(h, g)
+    return lo, np.searchsorted(h, g, "right") - lo
+
+
+def _counted(row: np.ndarray, seg: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((band, seg, row))
+    row, seg, band = row[order], seg[order], band[order]
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]) | (band[1:] != band[:-1]))) if len(row) else order
+    return row[new], seg[new], band[new], np.add.reduceat(count[order], new) if len(new) else count
+
+
 class Segments:
     """The searchable index of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float) -> None:
         self.q = q
-        raw, at, _ = squeeze(pa.array([t for _, t in items], pa.string()))
+        raw, at, _, _ = squeeze(pa.array([t for _, t in items], pa.string()))
         self.raw = raw
-        spans = []
+        spans, short = [], {}
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
             if b - a < LEAST:
+                if b > a:
+                    short.setdefault(min(q, b - a), []).append((int(grams(raw[a:b], min(q, b - a))[0]), a, b - a, items[i][0]))
                 continue
             starts = [a] if b - a <= MERGE else [*range(a, b - SEGMENT, STRIDE), b - SEGMENT]
             spans += [(i, s, b if b - a <= MERGE else s + SEGMENT) for s in starts]
         spans = np.array(spans, np.int64).reshape(-1, 3)
+        self.short = {m: [np.array(x, t) for x, t in zip(zip(*sorted(v)), (U, np.int64, np.int64, np.int64))] for m, v in short.items()}
         self.item = np.array([x for x, _ in items], np.int64)[spans[:, 0]] if len(items) else np.zeros(0, np.int64)
         self.start, self.size = spans[:, 1], spans[:, 2] - spans[:, 1]
         self.k = np.floor(rate * self.size).astype(np.int64)
@@ -86,34 +107,55 @@ class Segments:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.h >> U(42)] = True
 
-    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, posting) of every shared q-gram."""
+    def hits(self, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, posting) of every shared q-gram, about HITS at a time."""
         at = np.flatnonzero(self.maybe[g >> U(42)])
-        lo, hi = np.searchsorted(self.h, g[at]), np.searchsorted(self.h, g[at], "right")
-        n = hi - lo
-        pos = np.repeat(at, n)
-        return pos, np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(len(pos))
+        lo, n = _found(self.h, g[at])
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        total = np.append(0, np.cumsum(n))
+        cuts = np.unique(np.minimum(np.searchsorted(total, np.arange(0, total[-1] + HITS, HITS)), len(at)))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield np.repeat(at[i:j], n[i:j]), np.repeat(lo[i:j] - total[i:j] + total[i], n[i:j]) + np.arange(total[j] - total[i])
 
     def regions(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, segment, lowest diagonal of the band) of the regions that meet the lemma's bound."""
-        pos, post = self.hits(grams(raw, self.q))
-        if not len(pos):
+        parts = []
+        for pos, post in self.hits(grams(raw, self.q)):
+            row = np.searchsorted(at, pos, "right") - 1
+            ok = pos + self.q <= at[row + 1]
+            pos, post, row = pos[ok], post[ok], row[ok]
+            seg = self.seg[post]
+            diagonal = pos - self.place[post] + 2 * SEGMENT  # over 0
+            band = diagonal // (self.k[seg] + 1)
+            # band b holds the diagonals of b and b + 1: a hit counts in two bands
+            parts.append(_counted(np.tile(row, 2), np.tile(seg, 2), np.append(band, band - 1), np.ones(2 * len(row), np.int64)))
+        if not parts:
             return
-        row = np.searchsorted(at, pos, "right") - 1
-        ok = pos + self.q <= at[row + 1]
-        pos, post, row = pos[ok], post[ok], row[ok]
-        seg = self.seg[post]
-        diagonal = pos - self.place[post] + 2 * SEGMENT  # over 0
-        half = self.k[seg] + 1
-        band = diagonal // half
-        # band b holds the diagonals of b and b + 1: a hit counts in two bands
-        row, seg, band, half = np.tile(row, 2), np.tile(seg, 2), np.append(band, band - 1), np.tile(half, 2)
-        order = np.lexsort((band, seg, row))
-        row, seg, band, half = row[order], seg[order], band[order], half[order]
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]) | (band[1:] != band[:-1])])) if len(row) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(row)))
-        good = new[count >= np.maximum(self.need[seg[new]], 1)]
-        yield from zip(row[good].tolist(), seg[good].tolist(), (band[good] * half[good] - 2 * SEGMENT).tolist())
+        row, seg, band, count = _counted(*(np.concatenate(x) for x in zip(*parts))) if len(parts) > 1 else parts[0]
+        good = count >= np.maximum(self.need[seg], 1)
+        row, seg, band = row[good], seg[good], band[good]
+        yield from zip(row.tolist(), seg.tolist(), (band * (self.k[seg] + 1) - 2 * SEGMENT).tolist())
+
+    def exact(self, raw: np.ndarray, at: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, start, end) of the first place of each short item in each row; begins: where words begin, and the
+        end."""
+        for m, (h, start, size, item) in self.short.items():
+            g = grams(raw, m)
+            pos = np.flatnonzero(begins[: len(g)])
+            lo, n = _found(h, g[pos])
+            which = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            pos = np.repeat(pos, n)
+            row = np.searchsorted(at, pos, "right") - 1
+            end = pos + size[which]
+            ok = end <= at[row + 1]
+            ok[ok] = begins[end[ok]]
+            pos, which, row = pos[ok], which[ok], row[ok]
+            for j in range(int(size[which].max(initial=0))):
+                same = (j >= size[which]) | (raw[np.minimum(pos + j, len(raw) - 1)] == self.raw[np.minimum(start[which] + j, len(self.raw) - 1)])
+                pos, which, row = pos[same], which[same], row[same]
+            _, first = np.unique(np.stack([row, item[which]]), axis=1, return_index=True)
+            for i in first.tolist():
+                yield int(row[i]), int(item[which[i]]), int(pos[i]), int(pos[i] + size[which[i]])
 
     def align(self, raw: np.ndarray, at: np.ndarray, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end) of the best alignment of each segment with its region, within the band."""
@@ -148,8 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int = Q)
     text that the verified segments span.
 
     Nothing of the documents is shuffled or sampled; the benchmark is read in waves of at most WAVE bytes, and
-    each wave is one pass.  Null and empty texts hold nothing; null item texts and items under LEAST letters
-    are not searched for; a null doc_id is kept in the result; repeated rows each give rows; repeated item_ids
+    each wave is one pass.  Null and empty texts hold nothing; null item texts and items
+    without letters are not searched for; a null doc_id is kept in the result; repeated rows each give rows; repeated item_ids
     count as one item; extra columns are ignored; with an empty table the result is empty."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, edits int, segments int, start long, end long"
@@ -161,7 +203,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int = Q)
             index = Segments(sent.value, q, rate)
             for b in batches:
                 ids = b.column(0).to_pylist()
-                whole, at, keep = squeeze(b.column(1))
+                whole, at, keep, first = squeeze(b.column(1))
+                begins = np.append(np.diff(keep, prepend=-2) > 1, True)
+                begins[at] = True
                 for i, j in C.slices(at):
                     raw, cut = whole[at[i] : at[j]], at[i : j + 1] - at[i]
                     found = list(index.regions(raw, cut)) if len(index.seg) else []
@@ -176,19 +220,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int = Q)
                             x = got.setdefault((r, int(index.item[s])), [e, 0, begin, end, set()])
                             x[0], x[2], x[3] = min(x[0], e), min(x[2], begin), max(x[3], end)
                             x[4].add(s)
-                    base = keep  # places in the lower-case texts, batch-wide
+                    for r, item, begin, end in index.exact(raw, cut, begins[at[i] : at[j] + 1]):
+                        got[(r, item)] = [0, 0, begin, end, {begin}]
                     rows = []
                     for (r, item), (e, _, s, t, segs) in got.items():
-                        lo, hi = int(base[at[i] + s]), int(base[at[i] + t - 1]) + 1
-                        first = int(starts_of(b.column(1), i + r))
-                        rows.append((ids[i + r], item, e, len(segs), lo - first, hi - first))
+                        lo, hi = int(keep[at[i] + s]), int(keep[at[i] + t - 1]) + 1
+                        rows.append((ids[i + r], item, e, len(segs), lo - int(first[i + r]), hi - int(first[i + r])))
                     columns = list(zip(*rows)) if rows else [()] * 6
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-        def starts_of(column: pa.Array, r: int) -> int:
-            return int(pc.sum(pc.binary_length(pc.utf8_lower(column.slice(0, r).fill_null("")))).as_py() or 0)
-
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
     out, items, weight = None, [], 0

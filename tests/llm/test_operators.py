@@ -202,6 +202,56 @@ def test_alignment_is_edit_distance():
             assert min(index.align(raw, at, found)[0]) == min(row)
 
 
+@pytest.mark.parametrize("hits", [1 << 21, 5])
+def test_leaks_against_all_alignments(spark, monkeypatch, hits):
+    """The whole result, against the edit distance of every segment to every part of every document."""
+    from corvane.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "HITS", hits)
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    items = [(k, words(n)) for k, n in enumerate((9, 12, 25, 50, 70))] + [(5, "Forty two"), (6, "Q7"), (7, words(5)), (8, "..."), (9, "forty two"), (10, None)]
+    docs = []
+    for i in range(40):
+        text = list(r.choice(items[:5])[1])
+        for _ in range(r.choice([0, 1, 2, 4, 8, 12])):
+            k = r.randrange(len(text))
+            text[k : k + 1] = r.choice([[], ["q"], ["q", text[k]]])
+        docs.append((i, f"{words(5)} {''.join(text)}! {words(4)}"))
+    docs += [(100, "it is forty, TWO."), (101, "fortytwo"), (102, "sixforty two"), (103, "forty twos"), (104, "x q7 y"), (105, f"so {items[7][1]}"), (106, f"so{items[7][1]}"), (107, ""), (108, None)]
+
+    letters = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower())
+
+    def near(seg, text, k):
+        row = [0] * (len(text) + 1)
+        for c in seg:
+            new = [row[0] + 1]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row) <= k
+
+    want = set()
+    for i, t in docs:
+        flat = letters(t)
+        for item, x in items:
+            x = letters(x)
+            if len(x) >= D.LEAST:
+                cuts = [(0, len(x))] if len(x) <= D.MERGE else [(a, a + D.SEGMENT) for a in [*range(0, len(x) - D.SEGMENT, D.STRIDE), len(x) - D.SEGMENT]]
+                if any(near(x[a:b], flat, int(D.RATE * (b - a))) for a, b in cuts):
+                    want.add((i, item))
+            elif x:
+                spread = r"(?<![a-z0-9])" + "[^a-z0-9]*".join(x) + r"(?![a-z0-9])"
+                if re.search(spread, (t or "").lower()):
+                    want.add((i, item))
+    got = D.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) > 30
+    text = dict(docs)
+    for x in got:
+        if x.item_id in (5, 6, 9):
+            assert letters(text[x.doc_id][x.start : x.end]) == letters(dict(items)[x.item_id])
+
+
 def test_toxicity(spark):
     from corvane.llm.toxicity import fit, score
 
