@@ -10,6 +10,9 @@ score, and accumulator plus what unread segments can still give is an upper boun
 member while its upper bound reaches the k-th best lower bound (or the k-th best exact score that earlier
 blocks of the partition gave).  Processing stops when that proof leaves few possible members, or at the last
 segment; they are then rescored exactly, so where it stops never changes the result.
+
+Scores are whole numbers.  Where they could pass 2^53, up to which floats add exactly, nothing is pruned and all
+vectors of the block are scored with integers of any size; a score beyond a long is an error.
 """
 
 from __future__ import annotations
@@ -21,146 +24,170 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common as C
 
-BLOCK, LEVELS, WAVE, TOGETHER = 8192, 8, 4096, 256
+BLOCK, LEVELS, TOGETHER = 8192, 8, 256
+#: Bytes of query vectors that are broadcast at once; one wave is one pass over the rows.
+WAVE = 32 << 20
 
 
-def usable(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, integer vectors) of the vectors that take part: not null, all components finite, of the
-    length that the first such vector has (others would have no inner product and are left out)."""
-    if not len(column):
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.float64)
+def usable(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, lengths, components one after the other) of the vectors that take part: not null, not empty, all
+    components finite; components as whole numbers."""
     flat = column.flatten()
     values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-    lens = np.array([len(x) if x is not None else -1 for x in column.to_pylist()]) if column.null_count else np.diff(column.offsets.to_numpy())
-    at = np.append(0, np.cumsum(np.maximum(lens, 0)))
-    good = np.array([n > 0 and bool(np.isfinite(values[a : a + n]).all()) for a, n in zip(at, lens)], bool)
-    rows = np.flatnonzero(good)
-    if len(rows):
-        rows = rows[lens[rows] == lens[rows[0]]]
-    width = int(lens[rows[0]]) if len(rows) else 0
-    return rows, np.floor(scale * values[at[rows][:, None] + np.arange(width)])
+    lens = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64) if column.null_count else np.diff(column.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), lens)
+    good = (lens > 0) & (np.bincount(row, ~np.isfinite(values), len(column)) == 0)
+    return np.flatnonzero(good), lens[good], np.floor(scale * values[good[row]])
 
 
 class Index:
-    """Postings of one block: for rising values and for falling ones, by level."""
+    """Inverted lists of one block: for each dimension one of what vectors exceed its minimum by, and one of what they
+    fall short of its maximum by; each a list of (vector, impact), by descending level."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
         self.low, self.high = x.min(0), x.max(0)
-        both = np.concatenate([x - self.low, self.high - x], 1)  # n by 2 d, never negative
-        top = np.maximum(both.max(0), 1)
-        level = np.minimum((both * LEVELS / top).astype(np.int64), LEVELS - 1)
-        self.segments = [np.where(level == k, both, 0.0).T.copy() for k in range(LEVELS - 1, -1, -1)]
-        # the most that a posting can have below each level
-        self.rest = [np.where(level < k, both, 0.0).max(0) for k in range(LEVELS - 1, -1, -1)]
+        self.lists, self.rest = [], []
+        for impact in [*(x - self.low).T, *(self.high - x).T]:
+            vector = np.flatnonzero(impact > 0)  # what adds nothing has no posting
+            impact = impact[vector]
+            level = np.minimum((impact * (LEVELS / max(1.0, impact.max(initial=0)))).astype(np.int64), LEVELS - 1)
+            order = np.argsort(-level, kind="stable")
+            edge = np.searchsorted(-level[order], -np.arange(LEVELS - 1, -2, -1))  # of each segment, the highest first
+            self.lists.append((vector[order], impact[order], edge))
+            self.rest.append([impact[level < k].max(initial=0) for k in range(LEVELS - 1, -1, -1)])
+        self.rest = np.array(self.rest)  # the most that a posting below each level has
 
     def search(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (scores, ids) of the block's possible members; `floor`: a score that k others reach."""
-        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1)
+        """For each query (scores, ids) of the block's best members; `floor`: a score that k others reach."""
+        if max(np.abs(q).max(initial=0), 1) * max(np.abs(self.x).max(initial=0), 1) * 2 * q.shape[1] >= 2**53:
+            whole = [[int(v) for v in x] for x in self.x.tolist()]
+            scores = [[sum(a * b for a, b in zip(map(int, w), x)) for x in whole] for w in q.tolist()]
+            return [self._best(np.flatnonzero(self.ids != o), np.array(s, object), k) for s, o in zip(scores, own)]
+        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1).T  # of each list in each query
         base = np.maximum(q, 0) @ self.low - np.maximum(-q, 0) @ self.high
-        got = np.zeros((len(q), len(self.ids)))
         live = np.arange(len(q))
+        got = np.zeros((len(self.ids), len(q)))
         found: list = [None] * len(q)
         few = max(4 * k, len(self.ids) // 100)
-        for n, (segment, rest) in enumerate(zip(self.segments, self.rest)):
-            got[live] += weight[live] @ segment
-            room = weight[live] @ rest
-            low = got[live]
-            if len(self.ids) > k:
-                kth = np.partition(low, len(self.ids) - k - 1, axis=1)[:, len(self.ids) - k - 1]  # one more: the query itself may be there
+        for n in range(LEVELS):
+            for (vector, impact, edge), w in zip(self.lists, weight):
+                s = slice(edge[n], edge[n + 1])
+                if s.stop > s.start and w.any():
+                    got[vector[s]] += impact[s, None] * w
+            room = self.rest[:, n] @ weight
+            if len(self.ids) > k:  # one more: the query itself may be there
+                kth = np.partition(got, len(self.ids) - k - 1, axis=0)[len(self.ids) - k - 1]
             else:
                 kth = np.full(len(live), -np.inf)
-            bound = np.maximum(kth, floor[live] - base[live])
-            may = low + room[:, None] >= bound[:, None]
-            stop = (may.sum(1) <= few) | (n == LEVELS - 1)
+            may = got + room >= np.maximum(kth, floor[live] - base[live])
+            stop = (may.sum(0) <= few) | (n == LEVELS - 1)
             for i in np.flatnonzero(stop):
-                at = np.flatnonzero(may[i])
+                at = np.flatnonzero(may[:, i])
                 at = at[self.ids[at] != own[live[i]]]
-                score = self.x[at] @ q[live[i]]
-                best = np.lexsort((self.ids[at], -score))[:k]
-                found[live[i]] = score[best], self.ids[at][best]
-            live = live[~stop]
+                score = np.zeros(len(self.ids))
+                score[at] = self.x[at] @ q[live[i]]
+                found[live[i]] = self._best(at, score, k)
+            if stop.any():
+                live, got, weight = live[~stop], got[:, ~stop], weight[:, ~stop]
             if not len(live):
                 break
         return found
 
+    def _best(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        best = sorted(at.tolist(), key=lambda i: (-score[i], self.ids[i]))[:k]
+        return score[best], self.ids[best]
+
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows of `vectors` by integer inner product,
     ties to the smaller vec_id.  Both frames have vec_id long and embedding array; components x become
     floor(scale * x).
 
-    Vectors that are null, empty, or hold null or non-finite components take no part, nor do null vec_ids.
-    Repeated vec_ids are each a candidate, but never for their own id.  Extra columns are ignored.  With no
-    queries or no vectors the result is empty.  Queries are sent in waves of at most WAVE, read from the
-    checkpoint folder one at a time, so what is broadcast does not grow; one wave is one pass over the rows."""
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor do null vec_ids.  Only
+    vectors of the query's length are compared with it.  Repeated vec_ids are each a candidate, but never for their
+    own id.  Extra columns are ignored.  With no queries or no vectors the result is empty.  Queries are sent in
+    waves of about WAVE bytes, read from the checkpoint folder one at a time, so what is broadcast does not grow."""
     spark = vectors.sparkSession
 
-    def packed(batches):
-        ids, xs = [], []
+    def rows_of(batches):
+        """(ids, lengths, components) of each batch, without null ids."""
         for b in batches:
-            rows, x = usable(b.column(1), scale)
-            vec = b.column(0).to_numpy(zero_copy_only=False)
-            keep = b.column(0).is_valid().to_numpy(zero_copy_only=False)[rows]
-            ids.append(vec[rows][keep].astype(np.int64))
-            xs.append(x[keep])
-            while sum(map(len, ids)) >= WAVE:
-                yield from flush(ids, xs)
-        if any(map(len, ids)):
-            yield from flush(ids, xs)
-
-    def flush(ids, xs):
-        i, x = np.concatenate(ids), np.concatenate([a for a in xs if len(a)])
-        ids[:], xs[:] = [i[WAVE:]], [x[WAVE:]]
-        yield pa.RecordBatch.from_arrays([pa.array([i[:WAVE].tobytes()]), pa.array([x[:WAVE].astype(np.float64).tobytes()])], ["i", "x"])
-
-    parts = max(1, queries.count() // WAVE)
-    waves = C.cut(queries.select("vec_id", "embedding").coalesce(parts).mapInArrow(packed, "i binary, x binary").withColumn("w", F.monotonically_increasing_id()))
+            ids = b.column(0)
+            b = b.filter(ids.is_valid())
+            rows, lens, x = usable(b.column(1), scale)
+            yield b.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64), lens, x
+
+    def packed(batches):
+        held, size = [], 0
+
+        def flush():
+            columns = [np.concatenate(c).tobytes() for c in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], ["i", "n", "x"])
+
+        for part in rows_of(batches):
+            held.append(part)
+            size += part[2].nbytes
+            if size >= WAVE:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    parts = max(1, queries.count() // 4096)
+    waves = C.cut(queries.select("vec_id", "embedding").coalesce(parts).mapInArrow(packed, "i binary, n binary, x binary").withColumn("w", F.monotonically_increasing_id()))
     out = None
     for w in sorted(r[0] for r in waves.select("w").collect()):
-        sent = spark.sparkContext.broadcast(tuple(waves.where(F.col("w") == w).select("i", "x").first()))
+        sent = spark.sparkContext.broadcast(tuple(waves.where(F.col("w") == w).select("i", "n", "x").first()))
 
         def run(batches, sent=sent):
-            qi = np.frombuffer(sent.value[0], np.int64)
-            q = np.frombuffer(sent.value[1], np.float64).reshape(len(qi), -1)
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qi)
+            qi, qn = (np.frombuffer(x, np.int64) for x in sent.value[:2])
+            values = np.frombuffer(sent.value[2], np.float64)
+            begin = np.cumsum(qn) - qn
+            groups = {int(n): np.flatnonzero(qn == n) for n in np.unique(qn)}
+            q = {n: values[begin[at][:, None] + np.arange(n)] for n, at in groups.items()}
+            best = [([], [])] * len(qi)
             floor = np.full(len(qi), -np.inf)
-
-            def take(ids, x):
-                index = Index(ids, x)
-                for a in range(0, len(qi), TOGETHER):
-                    s = slice(a, a + TOGETHER)
-                    for j, (score, vec) in enumerate(index.search(q[s], qi[s], floor[s], k), a):
-                        score, vec = np.append(best[j][0], score), np.append(best[j][1], vec)
-                        keep = np.lexsort((vec, -score))[:k]
-                        best[j] = score[keep], vec[keep]
-                        if len(keep) == k:
-                            floor[j] = best[j][0][-1]
-
-            held_i, held_x, n = [], [], 0
-            for b in batches:
-                rows, x = usable(b.column(1), scale)
-                keep = b.column(0).is_valid().to_numpy(zero_copy_only=False)[rows]
-                if not keep.any() or x.shape[1] != q.shape[1]:
-                    continue
-                held_i.append(b.column(0).to_numpy(zero_copy_only=False)[rows][keep].astype(np.int64))
-                held_x.append(x[keep])
-                n += int(keep.sum())
-                while n >= BLOCK:
-                    i, x = np.concatenate(held_i), np.concatenate(held_x)
-                    take(i[:BLOCK], x[:BLOCK])
-                    held_i, held_x, n = [i[BLOCK:]], [x[BLOCK:]], n - BLOCK
-            if n:
-                take(np.concatenate(held_i), np.concatenate(held_x))
+            held: dict[int, list] = {n: [] for n in groups}
+
+            def take(n):
+                ids, x = (np.concatenate(c) for c in zip(*held[n]))
+                held[n] = []
+                for a in range(0, len(ids), BLOCK):
+                    index = Index(ids[a : a + BLOCK], x[a : a + BLOCK])
+                    for c in range(0, len(groups[n]), TOGETHER):
+                        at = groups[n][c : c + TOGETHER]
+                        for j, (score, vec) in zip(at.tolist(), index.search(q[n][c : c + TOGETHER], qi[at], floor[at], k)):
+                            both = sorted(zip([*best[j][0], *score.tolist()], [*best[j][1], *vec.tolist()]), key=lambda y: (-y[0], y[1]))[:k]
+                            best[j] = [y[0] for y in both], [y[1] for y in both]
+                            if len(both) == k and abs(both[-1][0]) < 2**53:
+                                floor[j] = both[-1][0]
+
+            total = 0
+            for ids, lens, x in rows_of(batches):
+                start = np.cumsum(lens) - lens
+                for n in np.unique(lens).tolist():
+                    if n in held:
+                        at = np.flatnonzero(lens == n)
+                        held[n].append((ids[at], x[start[at][:, None] + np.arange(n)]))
+                        total += len(at)
+                if total >= BLOCK:
+                    for n in held:
+                        if held[n]:
+                            take(n)
+                    total = 0
+            for n in held:
+                if held[n]:
+                    take(n)
             sizes = [len(s) for s, _ in best]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qi, sizes)), pa.array(np.concatenate([v for _, v in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64)), pa.array(np.repeat(np.arange(len(qi)), sizes).astype(np.int64) + (w << 13))],
+                [pa.array(np.repeat(qi, sizes)), pa.array([v for _, vs in best for v in vs], pa.int64()), pa.array([int(s) for ss, _ in best for s in ss], pa.int64()), pa.array(np.repeat(np.arange(len(qi)), sizes).astype(np.int64))],
                 ["query_id", "vec_id", "score", "q"],
             )
 
-        each = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score long, q long")
+        each = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score long, q long").withColumn("w", F.lit(w))
         out = each if out is None else out.union(each)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("w", "q").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

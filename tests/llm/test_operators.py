@@ -597,6 +597,30 @@ def test_topk(spark):
     assert search(df, df.limit(0)).count() == 0 and search(df.limit(0), df.where("vec_id = 0")).count() == 0
 
 
+def test_topk_with_unequal_lengths_and_large_values(spark, monkeypatch):
+    """Vectors meet those of their length whatever the order of rows; sums beyond 2^53 are exact; small blocks and waves."""
+    from corvane.llm import topk as K
+
+    monkeypatch.setattr(K, "BLOCK", 16)
+    monkeypatch.setattr(K, "WAVE", 400)
+    r = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in r.normal(0, 1, r.choice([2, 3, 7]))]) for i in range(150)] + [(400, [1.0]), (1, [1.0, 1.0]), (50, [0.3, 0.1])]
+    vectors += [(1000 + i, [float(x) for x in r.normal(0, 1e5, 5)]) for i in range(60)] + [(1100, [1e5 + 0.123, 3.0, 1.0, 0.0, -9e4])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors]
+    want = []
+    for i, q in good:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q))[:5]
+            want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in K.search(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == sorted(want)
+    x = np.floor(r.normal(0, 100, (40, 6)))
+    index = K.Index(np.arange(40), x)
+    assert all((np.diff(v[1][e[0] : e[1]]).size == 0 or v[1][: e[1]].min(initial=1e9) >= v[1][e[1] :].max(initial=0)) for v in index.lists for e in [v[2]])
+    assert sum(len(v[0]) for v in index.lists) == sum(int((y > 0).sum()) for y in (x - x.min(0), x.max(0) - x))
+
+
 def test_registered():
     from corvane.llm import queries
 
