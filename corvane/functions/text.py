@@ -223,6 +223,23 @@ def participants(c: Column) -> Column:
     return F.array_distinct(F.transform(named, lambda x: F.substring_index(x, ": ", 1)))
 
 
+def default_order(candidates: Column) -> Column:
+    """Candidates of one prompt in the order in which they are shown: by model, then by number."""
+    key = lambda c: F.struct(c["model"].alias("m"), c["candidate_idx"].alias("i"), c.alias("c"))
+    return F.transform(F.array_sort(F.transform(candidates, key)), lambda x: x["c"])
+
+
+def last_of(array: Column, n: int = 15) -> Column:
+    """The last n elements, or all."""
+    return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), F.lit(n))
+
+
+def arguments(c: Column) -> Column:
+    """The parts of a list given as one text with commas, without blank ones; null where none is left."""
+    parts = F.filter(F.transform(F.split(c, ","), strip), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts)
+
+
 def words(c: Column) -> Column:
     """The runs of non-white space."""
     return F.filter(F.split(collapse(c), " "), lambda x: x != "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators.ranks import hash_key, hashed_at, number_at
 
 
 def chunks(df: DataFrame, lines: str, size: int = 5, stride: int = 3, least: int = 4) -> DataFrame:
@@ -102,26 +103,28 @@ def shuffled(df: DataFrame, key: Column, seed: str) -> DataFrame:
 
 
 def ratio_cap(part: DataFrame, n_other: int, ratio: float, key: Column, seed: str) -> DataFrame:
-    """Of `part`, as many rows as make up `ratio` of the whole beside n_other others, at most."""
-    return sample_exact(part, key, int(n_other * ratio / (1 - ratio)), seed)
+    """Of `part`, as many rows as make up `ratio` of the whole beside n_other others, at most: those whose
+    md5(seed|key) is up to one order statistic.  Rows of one key stay or go together."""
+    n = int(n_other * ratio / (1 - ratio))
+    if n == 0:
+        return part.limit(0)
+    keyed = part.withColumn("__k", hash_key(key, seed))
+    if keyed.where("__k IS NOT NULL").count() > n:
+        keyed = keyed.where(F.col("__k") <= hashed_at(keyed.where("__k IS NOT NULL").select(F.col("__k").alias("k")), n))
+    return keyed.drop("__k")
 
 
 def split_exact(df: DataFrame, key: Column, sizes: dict[str, int], rest: str, seed: str) -> DataFrame:
-    """df with `split`: the given number of rows for each name, in order of md5(seed|key), then `rest`.  The
-    thresholds are order statistics, found by sorting only as many keys as the sizes ask for."""
-    order = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
-    keyed = df.withColumn("__k", F.concat(order, key.cast("string")))
-    total = sum(sizes.values())
-    if not total:
-        return df.withColumn("split", F.lit(rest))
-    first = keyed.select("__k").orderBy("__k").limit(total)
-    # ranks of the chosen keys: the limit has bounded this window
-    ranked = first.withColumn("__n", F.row_number().over(Window.orderBy("__k")))
-    label, done = F.lit(None).cast("string"), 0
-    for name, n in sizes.items():
-        label, done = F.when(label.isNull() & (F.col("__n") <= done + n), F.lit(name)).otherwise(label), done + n
-    chosen = ranked.select("__k", label.alias("split"))
-    return keyed.join(chosen, "__k", "left").withColumn("split", F.coalesce("split", F.lit(rest))).drop("__k")
+    """df with `split`: the given number of rows for each name, in order of md5(seed|key), then `rest`.  The bounds
+    are order statistics, so nothing is sorted or joined.  Rows of one key, or without, are in one part."""
+    k = hash_key(key, seed)
+    keys = df.select(k.alias("k")).where("k IS NOT NULL")
+    n, done, label = keys.count(), 0, F.lit(None).cast("string")
+    for name, size in sizes.items():
+        done = min(done + size, n)
+        if done:
+            label = F.when(label.isNull() & (k <= hashed_at(keys, done)), F.lit(name)).otherwise(label)
+    return df.withColumn("split", F.coalesce(label, F.lit(rest)))
 
 
 def val_size(n: int, least: int = 50, share: float = 0.05) -> int:
@@ -129,14 +132,13 @@ def val_size(n: int, least: int = 50, share: float = 0.05) -> int:
 
 
 def temporal_split(df: DataFrame, order: str = "pos", share: float = 0.9) -> DataFrame:
-    """df with `split`: the first int(share n) rows in order are 'train', the others 'val'.  The cut is one order
-    statistic, found by a distributed sort and an index, so no task sees all rows."""
-    n = df.count()
-    k = int(share * n)
+    """df with `split`: the first int(share n) rows in order (a whole number) are 'train', the others 'val'.  The cut is
+    one order statistic, found by counts of buckets; rows of one place, or without, are in one part."""
+    values = df.select(F.col(order).alias("v")).where("v IS NOT NULL")
+    k = int(share * values.count())
     if k == 0:
         return df.withColumn("split", F.lit("val"))
-    rows = df.select(F.col(order).alias("o")).orderBy("o").offset(k - 1).limit(1).collect()
-    return df.withColumn("split", F.when(F.col(order) <= rows[0][0], "train").otherwise("val"))
+    return df.withColumn("split", F.when(F.col(order) <= number_at(values, k), "train").otherwise("val"))
 
 
 def blind_order(df: DataFrame, array: str, key: Column, seed: str) -> DataFrame:
@@ -156,6 +158,21 @@ def replicate(df: DataFrame, times: Column) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times > 0)
 
 
+def within_cap(df: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """Rows of at most `most` tokens; what cannot be counted goes."""
+    return df.where(tokens <= most)
+
+
+def all_senders(*parts: DataFrame, column: str = "sender") -> DataFrame:
+    """Every sender of any part, once; null is one of them."""
+    return reduce(DataFrame.union, (p.select(column) for p in parts)).distinct()
+
+
+def missing_files(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Rows of `local` whose `name` the other listing lacks; a null name is never there."""
+    return local.join(remote.select("name").distinct(), "name", "left_anti")
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

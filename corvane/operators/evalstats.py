@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions.rules import artifact_flags
+from corvane.operators.ranks import narrowed
 
 
 def _picked(counts: DataFrame, by: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
@@ -23,6 +24,25 @@ def _picked(counts: DataFrame, by: list[str], value: str, ranks: dict[str, str])
     return at.groupBy(*by).agg(*(F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in ranks.items()))
 
 
+def _at_rank(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The v of rank r of each group, of the few rows (v, c, r) that are left of it."""
+    from pyspark.sql import Window
+
+    upto = rows.withColumn("__hi", F.sum("c").over(Window.partitionBy(*by).orderBy("v")))
+    return upto.where("__hi > r AND __hi - c <= r").select(*by, "v")
+
+
+def date_range(df: DataFrame, c: Column) -> DataFrame:
+    """The first and the last date of a table; null with none."""
+    return df.agg(F.min(c).alias("first"), F.max(c).alias("last"))
+
+
+def top_clusters(found: DataFrame, least: int, most: int) -> DataFrame:
+    """The `most` largest groups of clusters() of at least that many texts, by falling size; of equal sizes the one seen
+    first comes first."""
+    return found.where(F.col("n") >= least).orderBy(F.desc("n"), "first_pos").limit(most)
+
+
 def list_stats(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """n, min, upper median, max, mean by group; by counts of distinct values."""
     counts = df.select(*by, value.alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("c"))
@@ -85,17 +105,21 @@ def win_rates(ratings: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bootstrap(ratings: DataFrame, by: list[str], order: str, resamples: int = 1000, seed: str = "42", confidence: float = 0.95) -> DataFrame:
-    """n, lo and hi of A's win rate by percentile bootstrap: `resamples` draws of n rows with replacement, ties
-    among them, a draw being row md5(seed|resample|i) mod n.  Draws meet the rows by key; rates by rank."""
-    from pyspark.sql import Window
+#: Draws that one row stands for at most.
+DRAWS = 10_000
 
-    numbered = ratings.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count("*").alias("__n"))
-    drawn = sizes.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+
+def bootstrap(ratings: DataFrame, by: list[str], resamples: int = 1000, seed: str = "42", confidence: float = 0.95) -> DataFrame:
+    """n, lo and hi of A's win rate by percentile bootstrap: `resamples` draws of n rows with replacement, ties
+    among them.  A rate needs the counts of a resample only, so a draw md5(seed|resample|i) mod n is A below the
+    number of A's, not a tie below that of both, and no row is numbered or met.  Rates are told by rank."""
+    won = lambda x: F.count_if(F.col("winner") == x)
+    sizes = ratings.groupBy(*by).agg(F.count("*").alias("__n"), won("A").alias("__a"), F.count_if(F.col("winner") != "tie").alias("__ab"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(DRAWS).cast("long")))
+    drawn = sizes.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__from", block).repartition("__b", "__from")
+    drawn = drawn.withColumn("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + DRAWS, "__n") - 1)))
     drawn = drawn.withColumn("__i", F.pmod(X.hash_number(F.concat_ws("|", F.lit(seed), "__b", "__k")), F.col("__n")))
-    met = drawn.join(numbered.select(*by, "__i", "winner"), [*by, "__i"])
-    rates = met.groupBy(*by, "__b", "__n").agg((F.count_if(F.col("winner") == "A") / F.nullif(F.count_if(F.col("winner") != "tie"), F.lit(0))).alias("rate"))
+    rates = drawn.groupBy(*by, "__b").agg((F.count_if(F.expr("__i < __a")) / F.nullif(F.count_if(F.expr("__i < __ab")), F.lit(0))).alias("rate"))
     counts = rates.where("rate IS NOT NULL").groupBy(*by, "rate").agg(F.count("*").alias("c"))
     tail = (1 - confidence) / 2
     picks = _picked(counts, by, "rate", {"lo": f"int(floor({tail:.6f}D * __n + 1e-9D))", "hi": f"int(floor({1 - tail:.6f}D * __n + 1e-9D))"})
@@ -135,12 +159,13 @@ def artifacts(df: DataFrame, text: str, order: str, identity: str, examples: int
     """For each kind of artifact its count and its first few texts."""
     flags = artifact_flags(F.col(text), identity)
     kinds = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items())), lambda x: x.isNotNull())
-    hit = df.withColumn("artifact", F.explode(kinds))
+    hit = df.select(F.col(order).alias("o"), F.col(text).alias("t"), F.explode(kinds).alias("artifact"))
     from pyspark.sql import Window
 
-    ranked = hit.withColumn("__n", F.row_number().over(Window.partitionBy("artifact").orderBy(order)))
-    some = F.transform(F.array_sort(F.collect_list(F.when(F.col("__n") <= examples, F.struct("__n", F.col(text).alias("t"))))), lambda x: x["t"])
-    return ranked.groupBy("artifact").agg(F.count("*").alias("n"), some.alias("examples"))
+    # each task keeps its own first few of a kind before they meet
+    few = hit.withColumn("n", F.row_number().over(Window.partitionBy("artifact").orderBy("o"))).where(F.col("n") <= examples)
+    few = few.groupBy("artifact").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("examples"))
+    return hit.groupBy("artifact").agg(F.count("*").alias("n")).join(few, "artifact")
 
 
 def experiment_summary(rows: DataFrame) -> DataFrame:
@@ -212,10 +237,12 @@ def check_pairs(pairs: DataFrame, most_identical: float = 0.05) -> None:
 def pairwise_accuracy(scored: DataFrame, by: list[str]) -> DataFrame:
     """Of pairs scored (score_chosen, score_rejected): accuracy, mean and upper median of the margin."""
     rows = scored.withColumn("margin", F.col("score_chosen") - F.col("score_rejected"))
-    counts = rows.groupBy(*by, "margin").agg(F.count("*").alias("c"))
-    picks = _picked(counts, by, "margin", {"median_margin": "int(__n div 2)"})
+    keys = by or ["__all"]
+    counts = rows.withColumn("__all", F.lit(0)).where("margin IS NOT NULL").groupBy(*keys, F.col("margin").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.join(counts.groupBy(*keys).agg(F.expr("sum(c) div 2").alias("r")), keys)
+    picks = _at_rank(narrowed(narrowed(counts, keys), keys), keys).withColumnRenamed("v", "median_margin")
     basic = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("margin") > 0).cast("int")).alias("accuracy"), F.avg("margin").alias("mean_margin"))
-    return basic.join(picks, by) if by else basic.crossJoin(F.broadcast(picks))
+    return basic.join(picks, by, "left") if by else basic.crossJoin(F.broadcast(picks.drop("__all")))
 
 
 def grid_summary(rows: DataFrame, label: str, text: str, patterns: dict[str, str]) -> DataFrame:

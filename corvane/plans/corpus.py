@@ -25,10 +25,11 @@ def w13_last_wins(spark, sf_dir):
     return C.last_wins(docs, F.struct("source", "lang"), "doc_id").select("source", "lang", "doc_id")
 
 
-@query("SELECT min(conv_id) AS conv_id, key FROM (SELECT conv_id, md5(string_agg(role || ':' || left(text, 3), '|||' ORDER BY turn)) AS key FROM conversations WHERE turn < 1 GROUP BY conv_id) GROUP BY key")
+@query("SELECT min(conv_id) AS conv_id, key FROM (SELECT conv_id, md5(string_agg(role || ':' || text, '|||' ORDER BY turn)) AS key FROM conversations GROUP BY conv_id) GROUP BY key")
 def w12_dedup_examples(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn < 1").select("conv_id", F.array(F.struct("role", F.substring("text", 1, 3).alias("content"))).alias("messages"))
-    return C.dedup_examples(rows, "conv_id").select("conv_id", X.message_key(F.col("messages")).alias("key"))
+    from corvane.plans.texts import conversation_messages
+
+    return C.dedup_examples(conversation_messages(spark, sf_dir), "conv_id").select("conv_id", X.message_key(F.col("messages")).alias("key"))
 
 
 @query(
@@ -42,15 +43,19 @@ def w7_line_chunks(spark, sf_dir):
 
 
 @query(
-    """WITH u AS (SELECT doc_id, CAST('0x' || substr(md5(doc_id || '|form'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents)
-    SELECT CASE WHEN u < 0.4 THEN 'title' WHEN u < 0.9 THEN 'bridge' ELSE 'request' END AS form, count(*) AS n FROM u GROUP BY 1"""
+    """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+    s AS (SELECT doc_id, lines, unnest(CASE WHEN len(lines) >= 5 THEN range(0, len(lines) - 4, 3) WHEN len(lines) = 4 THEN [0] END) AS start FROM l),
+    c AS (SELECT doc_id, start, lines[start + 1:start + 5] AS chunk, doc_id || '_' || start AS k FROM s),
+    u AS (SELECT *, CAST('0x' || substr(md5(k || '|form'), 1, 8) AS BIGINT) / 4294967296.0 AS f, CAST('0x' || substr(md5(k || '|join'), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 AS inline FROM c),
+    a AS (SELECT *, CASE WHEN f < 0.9 THEN chunk[3:] ELSE chunk END AS answer FROM u)
+    SELECT doc_id, CAST(start AS INTEGER) AS start,
+    CASE WHEN f < 0.4 THEN '[Someone]' || chr(10) || array_to_string(chunk[1:2], chr(10)) WHEN f < 0.9 THEN 'Ann: play Someone' || chr(10) || array_to_string(chunk[1:2], chr(10)) ELSE 'Ann: play Someone' END AS asked,
+    CASE WHEN len(answer) <= 1 THEN coalesce(answer[1], '') WHEN inline THEN array_to_string(list_transform(answer, lambda x: regexp_replace(x, '[.,!? ]+$', '')), '. ') ELSE array_to_string(answer, chr(10)) END AS said FROM a"""
 )
 def w8_format_choice(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lit("one,two,three,four,five"), ",").alias("chunk"))
-    made = C.chunk_examples(docs, F.col("doc_id").cast("string"), F.lit("Someone"), ["Ann"], ["play {slot}"])
-    said = F.col("messages")[0]["content"]
-    form = F.when(said.startswith("["), "title").when(F.contains(said, F.lit("\n")), "bridge").otherwise("request")
-    return made.groupBy(form.alias("form")).agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.context_lines(F.col("text")).alias("lines"))
+    made = C.chunk_examples(C.chunks(docs, "lines"), F.concat_ws("_", "doc_id", "start"), F.lit("Someone"), ["Ann"], ["play {slot}"])
+    return made.select("doc_id", F.col("start").cast("int").alias("start"), F.col("messages")[0]["content"].alias("asked"), F.col("messages")[1]["content"].alias("said"))
 
 
 _WINDOWS = """WITH c AS (SELECT conv_id, turn AS pos, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS context FROM conversations),

@@ -144,11 +144,11 @@ def p25_anonymize(spark, sf_dir):
 @query(
     """SELECT user_id, min(ts) AS first_ts, count(*) AS n_before FROM
     (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events) e
-    WHERE ts < coalesce((SELECT min(CAST(floor(epoch(ts)) AS BIGINT)) FROM events WHERE event_type = 'error' AND event_id > 500), 1e18) GROUP BY user_id"""
+    WHERE ts < coalesce((SELECT min(CAST(floor(epoch(ts)) AS BIGINT)) FROM events WHERE event_type = 'error'), 1e18) GROUP BY user_id"""
 )
 def f6_before_first_mark(spark, sf_dir):
     from corvane.functions.rules import before_first
 
     log = event_log(spark, sf_dir)
-    early, _ = before_first(log, log.where("from = 'error' AND pos > 500"))
+    early, _ = before_first(log, log.where("from = 'error'"))
     return early.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n_before"))

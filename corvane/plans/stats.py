@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import evalstats as E
 from corvane.plans.registry import query, table
+from corvane.plans.texts import FLAGS
 
 
 @query("SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY event_type")
@@ -68,10 +69,10 @@ _METRICS = ("n", "digit_pct", "mean_length", "median_length", "vocab_entropy")
 @query(
     _GUARD.format(by="lang", table="documents")
     + ", m AS (SELECT lang, unnest(['" + "', '".join(_METRICS) + "']) AS metric, unnest([" + ", ".join(f"CAST({m} AS DOUBLE)" for m in _METRICS) + "]) AS v FROM s JOIN e USING (lang))"
-    + " SELECT metric, max(v) FILTER (lang = 'en') AS en, max(v) FILTER (lang = 'fr') AS fr FROM m GROUP BY metric"
+    + " SELECT metric, " + ", ".join(f"max(v) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM m GROUP BY metric"
 )
 def a9_side_by_side(spark, sf_dir):
-    return E.side_by_side(_guard(spark, sf_dir, "documents", "lang"), "lang", list(_METRICS), ["en", "fr"])
+    return E.side_by_side(_guard(spark, sf_dir, "documents", "lang"), "lang", list(_METRICS), ["de", "en", "es", "fr"])
 
 
 _WINNER = "CASE event_type WHEN 'purchase' THEN 'A' WHEN 'error' THEN 'B' ELSE 'tie' END"
@@ -88,14 +89,14 @@ def a12_win_rate_by_group(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN toxic = 1 THEN 'tie' WHEN quality = 1 THEN 'A' ELSE 'B' END AS winner FROM labels), n AS (SELECT count(*) AS n FROM r),
-    d AS (SELECT b, CAST('0x' || substr(md5('42|' || b || '|' || k), 1, 8) AS BIGINT) % n AS i FROM n, range(40) x(b), range(n) y(k)),
-    s AS (SELECT b, count_if(winner = 'A') / nullif(count_if(winner <> 'tie'), 0)::DOUBLE AS rate FROM d JOIN r USING (i) GROUP BY b),
-    o AS (SELECT rate, row_number() OVER (ORDER BY rate) - 1 AS j FROM s) SELECT n, (SELECT rate FROM o WHERE j = 1) AS lo, (SELECT rate FROM o WHERE j = 39) AS hi FROM n"""
+    """WITH n AS (SELECT count(*) AS n, count_if(toxic = 0 AND quality = 1) AS a, count_if(toxic = 0) AS ab FROM labels),
+    d AS (SELECT b, a, ab, CAST('0x' || substr(md5('42|' || b || '|' || k), 1, 8) AS BIGINT) % n AS i FROM n, range(1000) x(b), range(n) y(k)),
+    s AS (SELECT b, count_if(i < a) / nullif(count_if(i < ab), 0)::DOUBLE AS rate FROM d GROUP BY b),
+    o AS (SELECT rate, row_number() OVER (ORDER BY rate) - 1 AS j FROM s) SELECT n, (SELECT rate FROM o WHERE j = 25) AS lo, (SELECT rate FROM o WHERE j = 975) AS hi FROM n"""
 )
 def a11_bootstrap(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 AS whole", "CASE WHEN toxic = 1 THEN 'tie' WHEN quality = 1 THEN 'A' ELSE 'B' END AS winner")
-    return E.bootstrap(rows, ["whole"], "doc_id", 40).select("n", "lo", "hi")
+    rows = table(spark, sf_dir, "labels").selectExpr("1 AS whole", "CASE WHEN toxic = 1 THEN 'tie' WHEN quality = 1 THEN 'A' ELSE 'B' END AS winner")
+    return E.bootstrap(rows, ["whole"]).select("n", "lo", "hi")
 
 
 @query(
@@ -120,16 +121,12 @@ def a15_win_table(spark, sf_dir):
 
 
 @query(
-    r"""SELECT artifact, CAST(count(*) AS BIGINT) AS n, CAST((list(doc_id ORDER BY doc_id))[1] AS VARCHAR) AS first_id FROM (
-    SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '^[A-Z][^:\n]{1,40}:\s+') THEN 'speaker_prefix' END, CASE WHEN length(trim(text)) < 5 THEN 'too_short' END, CASE WHEN length(text) > 300 THEN 'too_long_300' END,
-    CASE WHEN contains(text, '```') OR contains(text, '**') OR regexp_matches(text, '(?m)^\s*[-*]\s+') THEN 'markdown' END], lambda x: x IS NOT NULL)) AS artifact FROM documents WHERE lang = 'en') GROUP BY artifact"""
+    "SELECT artifact, count(*) AS n, array_to_string((list(text ORDER BY doc_id))[1:3], '|') AS examples FROM (SELECT doc_id, text, unnest(list_filter(["
+    + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in FLAGS.items())
+    + "], lambda x: x IS NOT NULL)) AS artifact FROM documents) GROUP BY artifact"
 )
 def a16_artifacts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    out = E.artifacts(docs, "text", "doc_id", "thebot")
-    first = docs.select("doc_id", F.col("text").alias("t"))
-    out = out.select("artifact", "n", F.col("examples")[0].alias("t")).join(first, "t").groupBy("artifact", "n").agg(F.min("doc_id").cast("string").alias("first_id"))
-    return out
+    return E.artifacts(table(spark, sf_dir, "documents"), "text", "doc_id", "thebot").select("artifact", "n", F.array_join("examples", "|").alias("examples"))
 
 
 @query(

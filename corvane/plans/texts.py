@@ -85,14 +85,14 @@ def p9_strip_tokens(spark, sf_dir):
 @query(
     r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '\d+(?:[.,]\d+)?', 'D', 'g'), 'https?://\S+|t\.me/\S+|@[\w\pL\pN]+', '@', 'g'), '\s+', ' ', 'g'))) AS template,
     CAST(length(text) AS BIGINT) AS n_chars, length(text) / 3.0 AS estimate,
-    CASE WHEN length(text) > 80 THEN substr(replace(text, chr(10), ' | '), 1, 79) || '…' ELSE replace(text, chr(10), ' | ') END AS preview,
+    CASE WHEN length(replace(text, chr(10), ' | ')) > 80 THEN substr(replace(text, chr(10), ' | '), 1, 79) || '…' ELSE replace(text, chr(10), ' | ') END AS preview,
     replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, concat_ws('::', CAST(doc_id AS VARCHAR), source, '1') AS uid FROM documents
-    WHERE length(replace(text, chr(10), ' | ')) > 80 OR length(text) <= 80"""
+"""
 )
 def p3_normalize_and_small_functions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(replace(text, '\n', ' | ')) > 80 OR length(text) <= 80")
+    docs = table(spark, sf_dir, "documents")
     t = F.col("text")
-    return docs.where("length(replace(text, '\n', ' | ')) > 80 OR length(text) <= 80").select(
+    return docs.select(
         "doc_id", X.normalize(t).alias("template"), F.length(t).cast("long").alias("n_chars"), X.token_estimate(t).alias("estimate"), X.preview(t).alias("preview"),
         X.escape_html(t).alias("escaped"), X.uid(F.col("doc_id").cast("string"), F.col("source"), F.lit(1)).alias("uid"),
     )
@@ -118,9 +118,18 @@ def p1_flatten_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.flatten_variant(v).alias("flat"), X.flatten_variant(F.parse_json(F.lit('{"text": 5}'))).alias("other"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, list_aggregate(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)), 'string_agg', '|') AS lines FROM documents WHERE text LIKE '%' || chr(10) || '%' AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 1")
+_BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_TRIM = lambda x: f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r?\n|\r'), lambda x: {_TRIM("x")}), lambda x: x <> '') AS lines FROM documents),
+    s AS (SELECT doc_id, text, lines, list_filter(string_split(regexp_replace(text, '([.!?]){_BLANK}*([А-ЯA-Z«"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {_TRIM("x")} <> '') AS parts FROM l)
+    SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
+    array_to_string(CASE WHEN len(lines) > 1 THEN lines ELSE list_filter(list_transform(parts, lambda x: regexp_replace({_TRIM("x")}, '\.+$', '')), lambda x: length(x) > 1) END, '|') AS lines FROM s"""
+)
 def p12_split_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.size(F.filter(F.split("text", "\n"), lambda x: X.strip(x) != "")) > 1)
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.array_join(X.split_lines(F.col("text")), "|").alias("lines"))
 
 
@@ -191,11 +200,18 @@ def f18_glob_paths(spark, sf_dir):
     return R.matching_paths(pages, ["http*/*1*"]).where(F.col("url").rlike("/[^?]*[0-9].*$")).select("page_id", "url")
 
 
-@query(
-    r"""SELECT CAST(count_if(regexp_matches(text, '^[A-Z][^:\n]{1,40}:\s+')) AS BIGINT) AS speaker_prefix, CAST(count_if(regexp_matches(text, 'thebot')) AS BIGINT) AS bot_identity, CAST(count_if(contains(text, '```') OR contains(text, '**') OR regexp_matches(text, '(?m)^\s*[-*]\s+')) AS BIGINT) AS markdown,
-    CAST(count_if(length(trim(text)) < 5) AS BIGINT) AS too_short, CAST(count_if(length(text) > 300) AS BIGINT) AS too_long_300 FROM documents WHERE lang = 'en'"""
-)
+#: The SQL of the artifact flags.
+FLAGS = {
+    "speaker_prefix": rf"regexp_matches(text, '^[А-ЯA-ZЁ][^:\n]{{1,40}}:{_BLANK}+')",
+    "bot_identity": "regexp_matches(text, 'thebot')",
+    "markdown": rf"(contains(text, '```') OR contains(text, '**') OR regexp_matches(text, '(?:^|[\n\r\x{{85}}\x{{2028}}\x{{2029}}]){_BLANK}*[-*]{_BLANK}+'))",
+    "emoji": r"regexp_matches(text, '[\x{1F300}-\x{1FAFF}]')",
+    "too_short": f"length({_TRIM('text')}) < 5",
+    "too_long_300": "length(text) > 300",
+}
+
+
+@query("SELECT " + ", ".join(f"CAST(count_if({v}) AS BIGINT) AS {k}" for k, v in FLAGS.items()) + " FROM documents")
 def f19_artifact_flags(spark, sf_dir):
     flags = R.artifact_flags(F.col("text"), "thebot")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.agg(*(F.count_if(flags[k]).alias(k) for k in ("speaker_prefix", "bot_identity", "markdown", "too_short", "too_long_300")))
+    return table(spark, sf_dir, "documents").agg(*(F.count_if(v).alias(k) for k, v in flags.items()))

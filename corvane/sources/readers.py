@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import glob as _glob
 import io
 import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +28,6 @@ def chat_export(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
-@F.pandas_udf("string")
 def _first_json(content: pd.Series) -> pd.Series:
     def one(data: bytes) -> str | None:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -43,7 +40,7 @@ def _first_json(content: pd.Series) -> pd.Series:
 def zipped_export(spark: SparkSession, path: str) -> DataFrame:
     """As chat_export, of the first .json member of each zip archive."""
     raw = spark.read.format("binaryFile").load(path)
-    return _documents(raw.select(F.col("path").alias("file"), _first_json("content").alias("value")).where("value IS NOT NULL"))
+    return _documents(raw.select(F.col("path").alias("file"), F.pandas_udf(_first_json, "string")("content").alias("value")).where("value IS NOT NULL"))
 
 
 def records(messages: DataFrame, unknown: str = "Unknown") -> DataFrame:
@@ -122,17 +119,37 @@ def literals(spark: SparkSession, category: str, items: list[str], templates: li
     return spark.createDataFrame(rows, "id string, category string, context array<string>")
 
 
+#: Name, temperature, top_p, top_k and repetition penalty of the default four candidates.
+SAMPLING = (("plain", 0.7, 0.9, 40, 1.1), ("loose", 0.9, 0.95, 50, 1.1), ("tight", 0.5, 0.85, 30, 1.15), ("wild", 1.1, 0.98, 80, 1.05))
+
+
+def parameter_grid(spark: SparkSession, temperatures: list[float] | None = None, penalties: list[float] | None = None) -> DataFrame:
+    """(idx, name, temperature, top_p, top_k, repetition_penalty): the default candidates, or every pair of the given
+    temperatures and penalties."""
+    rows = SAMPLING
+    if temperatures is not None:
+        rows = [(f"t{t}_p{p}", t, 0.9, 40, p) for t in temperatures for p in penalties or [1.1]]
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows, 1)], "idx int, name string, temperature double, top_p double, top_k int, repetition_penalty double")
+
+
 def grouped(rows: DataFrame, key: str = "prompt_id") -> DataFrame:
     """One row per key with all its rows as an array in a fixed order."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
 
 
-def find_path(candidates: Iterable[str], name: str | None = None, root: str | None = None) -> str | None:
-    """The first candidate that exists, else the first file called `name` anywhere under `root`."""
+def find_path(spark: SparkSession, candidates: Iterable[str], name: str | None = None, root: str | None = None) -> str | None:
+    """The first candidate that exists, in any store that Spark reads, else the first file called `name` under
+    `root`, by path."""
+    conf, make = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     for c in candidates:
-        if Path(c).exists():
+        if make(c).getFileSystem(conf).exists(make(c)):
             return str(c)
-    if name and root:
-        return next(iter(sorted(_glob.glob(f"{root}/**/{name}", recursive=True))), None)
-    return None
+    if not (name and root):
+        return None
+    files, found = make(root).getFileSystem(conf).listFiles(make(root), True), []
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName() == name:
+            found.append(at.toString())
+    return min(found, default=None)
