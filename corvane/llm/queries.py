@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out), "toxic")
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

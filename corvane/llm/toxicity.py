@@ -37,7 +37,8 @@ LOOKALIKES = {
 }
 INVISIBLE = re.compile("[­̀-ͯ​-‏⁠﻿]")
 
-MAX_LABELLED, SUPPORT, LEAST_ODDS, MAX_WORDS = 20_000, 8, 2.0, 512
+#: Only the labelled rows are a bounded sample.  Entries and phrases follow from support and odds in it.
+MAX_LABELLED, SUPPORT, LEAST_ODDS = 20_000, 8, 2.0
 STEM = range(4, 10)
 EDGES = ".,;:!?\"'()[]*#%&$|-"
 _WORD = re.compile(r"[^\s]+")
@@ -96,8 +97,20 @@ class Lexicon:
         return found
 
     def neighbours(self, text: str, start: int, end: int) -> tuple[str, str]:
-        left, right = text[max(0, start - 40) : start].split(), text[end : end + 40].split()
-        return (fold(left[-1], self.table) if left else ""), (fold(right[0], self.table) if right else "")
+        """The words, or parts of words, on either side of a match, folded."""
+        b = start
+        while b and text[b - 1].isspace():
+            b -= 1
+        a = b
+        while a and not text[a - 1].isspace():
+            a -= 1
+        c, n = end, len(text)
+        while c < n and text[c].isspace():
+            c += 1
+        d = c
+        while d < n and not text[d].isspace():
+            d += 1
+        return fold(text[a:b], self.table), fold(text[c:d], self.table)
 
     def features(self, text: str) -> tuple[float, float]:
         clean = INVISIBLE.sub("", text) if not text.isascii() else text
@@ -127,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
             for text in b.column(0).to_pylist():
                 # folded as matched: signs inside a word stand for letters, those at its edges are not part of it
                 words = {fold(w.strip(EDGES), table) for w in _WORD.findall(INVISIBLE.sub("", text))}
-                found = {w for w in words if 3 <= len(w) <= 40 and any(c.isalpha() for c in w)}
+                found = {w for w in words if len(w) >= 3 and any(c.isalpha() for c in w)}
                 found |= {w[:n] + "*" for w in words for n in STEM if len(w) > n}
                 for w in found:
                     seen[w] = seen.get(w, 0) + 1
@@ -140,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
     (n0, words0), (n1, words1) = size.get(0, (0, 0)), size.get(1, (0, 0))
     support = max(SUPPORT, n1 // 100)
     counts = rows.where("y > 0").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {support}")
-    likely = {r[0] for r in counts.orderBy(F.desc("n"), "w").limit(40 * MAX_WORDS).collect()}
+    likely = {r[0] for r in counts.select("w").collect()}  # at most a hundred times what a document holds on average
     if not likely or not n0:
         rate = (n1 + 1) / (n0 + n1 + 3)
         return {"weights": {}, "before": [], "after": [], "coefficients": [math.log(rate / (1 - rate)), 0.0, 0.0]}
@@ -163,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
     odds = {w: x for w, x in odds.items() if x >= LEAST_ODDS}
     stems = {w[:-1]: x for w, x in odds.items() if w[-1] == "*"}
     spare = {w for w, x in odds.items() if any(stems.get(w[:n], -1) >= x - 0.7 for n in STEM if n < len(w.rstrip("*")) or n == len(w) and w[-1] != "*")}
-    best = sorted((w for w in odds if w not in spare), key=lambda w: (-odds[w], w))[:MAX_WORDS]
+    best = sorted((w for w in odds if w not in spare), key=lambda w: (-odds[w], w))
     model = {"weights": {w: odds[w] for w in best}, "before": [], "after": [], "coefficients": [0, 0, 0]}
     model_sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
             yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in k]) for i in range(3)), *(pa.array([seen[x][i] for x in k], pa.int64()) for i in (0, 1))], ["side", "a", "b", "n0", "n1"])
 
     harmless = rows.select("text", "y").mapInArrow(phrases, "side string, a string, b string, n0 long, n1 long").groupBy("side", "a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    for side, a, b in harmless.where("a <> '' AND b <> '' AND n0 >= 3 AND n1 * 20 <= n0").orderBy(F.desc("n0"), "side", "a", "b").limit(10 * MAX_WORDS).select("side", "a", "b").collect():
+    for side, a, b in harmless.where("a <> '' AND b <> '' AND n0 >= 3 AND n1 * 20 <= n0").select("side", "a", "b").orderBy("side", "a", "b").collect():
         model[side].append((a, b))
     table = Fold()
     folded = [(fold(a, table), fold(b, table)) for a, b in exceptions]
@@ -196,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_labelled:
             x = [lexicon.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64()), b.column(1)], ["a", "b", "y"])
 
-    sample = rows.select("text", "y").mapInArrow(measured, "a double, b double, y long").orderBy("a", "b", "y").toPandas()
+    sample = rows.select("text", "y").mapInArrow(measured, "a double, b double, y long").toPandas().sort_values(["a", "b", "y"])
     model["coefficients"] = _logistic(sample[["a", "b"]].to_numpy(), (sample["y"].to_numpy() > 0).astype(float))
     return model
 

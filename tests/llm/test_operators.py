@@ -278,6 +278,61 @@ def test_toxicity(spark):
     assert score(docs.limit(0), model).count() == 0
 
 
+def test_lexicon_against_a_plain_matcher():
+    """Every place of every entry, by looking at each place of the folded text."""
+    from corvane.llm.toxicity import Fold, Lexicon, fold
+
+    r = random.Random(12)
+    weights = {"".join(r.choice("abo") for _ in range(r.randint(2, 5))) + r.choice(["", "*"]): r.random() + 1 for _ in range(25)}
+    lexicon = Lexicon({"weights": weights, "before": [("ab", "abo")], "after": [], "coefficients": [0.0, 1.0, 1.0]})
+    for _ in range(200):
+        text = "".join(r.choice("aabbo0@ .,é") for _ in range(60))
+        flat, places = fold(text, Fold()), {}
+        for word, weight in weights.items():
+            n = len(word.rstrip("*"))
+            for s in range(len(flat) - n + 1):
+                free = (s == 0 or not text[s - 1].isalnum()) and (word[-1] == "*" or s + n == len(text) or not text[s + n].isalnum())
+                if flat[s : s + n] == word.rstrip("*") and free:
+                    places.setdefault(s, []).append((weight, word, s + n))
+        assert sorted(lexicon.matches(text)) == sorted((w, s, e) for s, found in places.items() for _, w, e in [max(found)])
+        counts = {}
+        for found in places.values():
+            for _, w, _ in found:
+                counts[w] = counts.get(w, 0) + 1
+        assert lexicon.entries(text) == counts
+        for w, s, e in lexicon.matches(text):
+            before, after = re.search(r"(\S*)\s*$", text[:s])[1], re.match(r"\s*(\S*)", text[e:])[1]
+            assert lexicon.neighbours(text, s, e) == (fold(before, Fold()), fold(after, Fold()))
+
+
+def test_cumulative_link_finds_the_likelihood():
+    """No other weights or thresholds nearby do better, by a plain sum over documents; grades come out in order."""
+    from corvane.llm.quality import cumulative_link
+
+    r = np.random.default_rng(4)
+    n, k = 300, 5
+    x = r.normal(0, 1, (n, k))
+    latent = x @ np.array([1.5, -1.0, 0.5, 0.0, 0.0]) + r.logistic(0, 1, n)
+    y = np.searchsorted([-1.0, 0.5, 2.0], latent)
+    d, f = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+    weights, thresholds = cumulative_link(d, f, x.ravel(), y, 4, 3000, 0.0)
+
+    def loss(w, t):
+        total = 0.0
+        for i in range(n):
+            s = sum(w[j] * x[i, j] for j in range(k))
+            p = [1 / (1 + np.exp(-(c - s))) for c in t]
+            total -= np.log(([*p, 1.0][y[i]]) - ([0.0, *p][y[i]]))
+        return total / n
+
+    best = loss(weights, thresholds)
+    assert list(thresholds) == sorted(thresholds) and weights[0] > 0.8 and weights[1] < -0.4
+    for _ in range(40):
+        w, t = weights.copy(), np.sort(thresholds + r.normal(0, 0.05, 3))
+        w[:k] += r.normal(0, 0.05, k)
+        assert loss(w, t) > best - 2e-4
+
+
 def test_quality(spark):
     from corvane.llm import quality as Q
 
