@@ -17,7 +17,12 @@ EMOJI = (
     r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}"
     r"\x{2702}-\x{27B0}\x{FE00}-\x{FE0F}\x{200D}\x{2640}\x{2642}\x{231A}-\x{231B}"
 )
-REFUSAL = r"(?iu)(i\s+cannot|i'?m\s+sorry|language\s+model|i'?m\s+(?:an?|just)\s+a)"
+# What a text that declines says, in the languages of the logs.
+REFUSALS = (
+    "извини", r"i\s+cannot", r"i'?m\s+sorry", r"как\s+ии", r"как\s+(?:языковая|ai|искусственный)",
+    r"language\s+model", r"i'?m\s+(?:an?|just)\s+a",
+)
+REFUSAL = f"(?iuU)({'|'.join(REFUSALS)})"
 REFUSAL_GUARD = r"(?iu)(i can'?t|cannot help|unable to|as an ai|i am not able)"
 FILLER = r"[ㅤᅟᅠ⠀]{3,}"
 SAME_DIGIT = r"\A(\d)\1{6,}$"

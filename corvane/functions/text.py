@@ -274,9 +274,12 @@ def strip_speaker_tokens(c: Column) -> Column:
 def label_mask(ids: Column, prefix: list[int], ignore: int = -100) -> Column:
     """Training labels of token ids: `ignore` up to the end of the last occurrence of `prefix`, then the ids;
     all `ignore` where it does not occur."""
-    n, k = F.size(ids), len(prefix)
-    wanted = F.array(*(F.lit(x).cast("int") for x in prefix))
-    starts = F.when(n >= k, F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    found = F.filter(starts, lambda i: F.slice(ids, i, F.lit(k)) == wanted)
-    last = F.coalesce(F.array_max(found) + k - 1, n)
-    return F.transform(ids, lambda x, i: F.when(i >= last, x).otherwise(F.lit(ignore)))
+    n = F.size(ids)
+    if not prefix:
+        return ids
+    # as text, each number between commas of its own: the last occurrence is one search
+    text = F.concat(F.lit(","), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",,"), F.lit(","))
+    wanted = "," + ",,".join(str(x) for x in prefix) + ","
+    after = F.substring_index(text, wanted, -1)
+    kept = F.when(F.contains(text, F.lit(wanted)), ((F.length(after) - F.length(F.replace(after, F.lit(","), F.lit("")))) / 2).cast("int")).otherwise(0)
+    return F.concat(F.array_repeat(F.lit(ignore), n - kept), F.slice(ids, n - kept + 1, kept))

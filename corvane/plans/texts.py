@@ -171,12 +171,14 @@ def f7_quality_filter(spark, sf_dir):
 
 
 @query(
-    r"""SELECT coalesce(CASE WHEN text = '' THEN 'empty' WHEN length(text) < 5 THEN 'too_short' WHEN length(text) > 500 THEN 'too_long' WHEN regexp_matches(text, '[一-鿿㐀-䶿]') THEN 'cjk'
-    WHEN regexp_matches(text, 'MIT License|[0-9]{4}') THEN 'spam' WHEN regexp_matches(text, '(i\s+cannot|i''?m\s+sorry|language\s+model|i''?m\s+(?:an?|just)\s+a)', 'i') THEN 'refusal' END, 'accepted') AS reason, count(*) AS n FROM documents GROUP BY 1"""
+    r"""WITH t AS (SELECT CASE doc_id % 11 WHEN 1 THEN 'Ну ИЗВИНИ, ' || left(text, 100) WHEN 2 THEN 'Я, как  языковая модель' ELSE text END AS text FROM documents)
+    SELECT coalesce(CASE WHEN text = '' THEN 'empty' WHEN length(text) < 5 THEN 'too_short' WHEN length(text) > 500 THEN 'too_long' WHEN regexp_matches(text, '[一-鿿㐀-䶿]') THEN 'cjk'
+    WHEN regexp_matches(text, 'MIT License|[0-9]{4}') THEN 'spam' WHEN regexp_matches(text, '(извини|i\s+cannot|i''?m\s+sorry|как\s+ии|как\s+(?:языковая|ai|искусственный)|language\s+model|i''?m\s+(?:an?|just)\s+a)', 'i') THEN 'refusal' END, 'accepted') AS reason, count(*) AS n FROM t GROUP BY 1"""
 )
 def f8_post_filter_reasons(spark, sf_dir):
     reason = R.post_filter(spam="MIT License|[0-9]{4}").reason(F.col("text"))
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").selectExpr("CASE doc_id % 11 WHEN 1 THEN 'Ну ИЗВИНИ, ' || left(text, 100) WHEN 2 THEN 'Я, как  языковая модель' ELSE text END AS text")
+    return docs.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id, bool_or(regexp_matches(text, '[0-9]')) AS any_digit, coalesce(bool_or(regexp_matches(text, '[0-9]')) FILTER (role = 'assistant'), false) AS assistant_digit FROM conversations GROUP BY conv_id""")
