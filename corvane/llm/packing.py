@@ -37,9 +37,13 @@ def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[in
     pen = [0, *penalty.tolist()]
     n = len(at)
     best, back = [0] * n, [0] * n
-    index = {0: 0}
     queue: deque[int] = deque([0])
-    powers = [window >> k for k in range(1, _HALVES + 1)]
+    # the place that lies just so far back, if there is one
+    all_at = np.append(0, places)
+    powers = []
+    for k in range(1, _HALVES + 1):
+        i = np.searchsorted(all_at, all_at - (window >> k))
+        powers.append(np.where(all_at[i] == all_at - (window >> k), i, -1).tolist())
     lead = [0] * n  # f(i) + P(i)
     for j in range(1, n):
         p = at[j]
@@ -47,13 +51,12 @@ def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[in
             queue.popleft()
         i = queue[0]
         cost, back[j] = lead[i] + window - p, i
-        for w in powers:
-            i = index.get(p - w, -1)
+        for exact in powers:
+            i = exact[j]
             if i >= 0 and best[i] < cost:
                 cost, back[j] = best[i], i
         cost += pen[j] + SEQUENCE
         best[j], lead[j] = cost, cost + p
-        index[p] = j
         while queue and lead[queue[-1]] >= lead[j]:
             queue.pop()
         queue.append(j)
@@ -69,8 +72,9 @@ def places_of(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[
     natural = np.unique(np.concatenate([doc_ends, np.flatnonzero(ends[ids]) + 1]))
     gaps = np.diff(natural, prepend=0)
     wide = np.flatnonzero(gaps > STEP)
-    extra = [np.arange(natural[k] - gaps[k] + STEP, natural[k], STEP) for k in wide]
-    places = np.concatenate([natural, *extra])
+    more = (gaps[wide] - 1) // STEP
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    places = np.append(natural, np.repeat(natural[wide] - gaps[wide], more) + step * STEP)
     penalty = np.full(len(places), HARD, np.int64)
     penalty[: len(natural)] = np.where(np.isin(natural, doc_ends), 0, SENTENCE)
     order = np.argsort(places, kind="stable")

@@ -49,7 +49,7 @@ class Memo(dict):
 
     def learn(self, units: list[list[str]]) -> None:
         every = set().union(*units)
-        new = list(every - self.keys())
+        new = [x for x in every if x not in self]
         if len(self) + len(new) > CACHE_UNITS:
             self.clear()
             new = list(every)
