@@ -155,8 +155,7 @@ def promote(rejected: DataFrame, accepted: DataFrame, allowed: list[str], order:
     for each prompt; rows without a prompt_id are never duplicates."""
     rows = rejected.where(F.col("reject_reason").isin(allowed))
     rows = rows.join(accepted.where("prompt_id IS NOT NULL").select("prompt_id").distinct(), "prompt_id", "left_anti")
-    w = Window.partitionBy("prompt_id").orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("prompt_id IS NULL OR __n = 1").drop("__n")
+    return first_wins(rows.where("prompt_id IS NOT NULL"), "prompt_id", order).union(rows.where("prompt_id IS NULL"))
 
 
 def retry_prompts(failures: DataFrame, order: str = "pos") -> DataFrame:

@@ -29,8 +29,9 @@ def stream_routed(generated: DataFrame, rules: RulePack, path: str, checkpoint:
             done = spark.read.json(f"{path}/status=accepted").where(F.col("batch") < number).select("prompt_id").where("prompt_id IS NOT NULL").distinct()
             rows = rows.join(done, "prompt_id", "left_anti")
         # of one prompt's accepted rows in a batch the first text in order stays; rows without a prompt all do
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("prompt_id", "status").orderBy(*sorted(c for c, t in batch.dtypes if t in ("string", "bigint", "int")))))
-        rows = rows.where("status <> 'accepted' OR prompt_id IS NULL OR __n = 1").drop("__n")
+        w = Window.partitionBy("prompt_id").orderBy(*sorted(c for c, t in batch.dtypes if t in ("string", "bigint", "int")))
+        once = F.expr("coalesce(status = 'accepted' AND prompt_id IS NOT NULL, false)")
+        rows = rows.where(once).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").union(rows.where(~once))
         # a batch that runs again replaces its own files
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch").json(path)
 
