@@ -150,8 +150,8 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("sess").collect()) == [1, 2]
     (tmp_path / "gen").mkdir()
     schema = "prompt_id string, content string, error string"
-    for k in range(2):  # the second run sees the same prompt again and skips it
-        (tmp_path / f"gen/{k}.json").write_text('{"prompt_id": "p", "content": "a good answer"}\n{"prompt_id": "r%d", "content": "no"}\n' % k)
+    for k in range(2):  # a batch holds two good rows of one prompt, of which one stays; the second run sees it again and skips it
+        (tmp_path / f"gen/{k}.json").write_text('{"prompt_id": "p", "content": "a good answer"}\n{"prompt_id": "p", "content": "another good one"}\n{"prompt_id": "r%d", "content": "no"}\n' % k)
         source = spark.readStream.schema(schema).json(str(tmp_path / "gen"))
         jobs.stream_routed(source, R.post_filter(), str(tmp_path / "routed"), str(tmp_path / "cp")).awaitTermination(60)
     rows = spark.read.json(str(tmp_path / "routed"))
