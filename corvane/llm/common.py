@@ -128,6 +128,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, by one sort, which is several times faster than numpy's hashing and sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """For each row its sorted distinct shingles of `size` words, as 64-bit hashes.
     A row of fewer words has the whole sequence as its one shingle; no words, none."""
@@ -144,7 +150,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterato
         for r in range(j - i):
             n = at[r + 1] - at[r]
             if n >= size:
-                yield i + r, np.unique(full[at[r] : at[r + 1] - size + 1])
+                yield i + r, distinct(full[at[r] : at[r + 1] - size + 1])
             elif n:
                 short = (w[at[r] : at[r + 1]] * _SHINGLE[size : size + n]).sum(dtype=np.uint64)
                 yield i + r, mix(np.array([short + U(n)], np.uint64))
@@ -211,21 +217,33 @@ def _bloom_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
 
 
 def bloom_of(keys: DataFrame) -> bytes:
-    """A Bloom filter (compressed) of the one long column of `keys`, which is read twice.  It comes to the driver
-    in at most BLOOM_PARTS parts."""
+    """A Bloom filter (compressed) of the one long column of `keys`, which is read twice.  At most BLOOM_PARTS tasks
+    build it, all at once; they are joined piece by piece in as many, so one filter in all comes to the driver."""
     size = 1 << min(BLOOM_MOST, max(BLOOM_LEAST, (16 * keys.count()).bit_length()))
+    piece = size // 8 // BLOOM_PARTS
 
     def build(batches):
         bits = np.zeros(size, bool)
         for b in batches:
             for p in _bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
                 bits[p] = True
-        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["bits"])
+        packed = np.packbits(bits, bitorder="little")
+        parts = [zlib.compress(packed[k * piece : (k + 1) * piece].tobytes(), 1) for k in range(BLOOM_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["k", "bits"])
 
-    bits = np.zeros(size // 8, np.uint8)
-    for (x,) in keys.coalesce(BLOOM_PARTS).mapInArrow(build, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+    def join(batches):
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[k] = got.get(k, np.uint8(0)) | bloom_bits(x)
+        parts = [zlib.compress(x.tobytes(), 1) for x in got.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(parts, pa.binary())], ["k", "bits"])
+
+    schema = "k int, bits binary"
+    built = keys.coalesce(BLOOM_PARTS).mapInArrow(build, schema)
+    bits = np.zeros((BLOOM_PARTS, piece), np.uint8)
+    for k, x in built.repartition(min(BLOOM_PARTS, shuffle_width(keys.sparkSession)), "k").mapInArrow(join, schema).collect():
+        bits[k] = bloom_bits(x)
     return zlib.compress(bits.tobytes(), 1)
 
 

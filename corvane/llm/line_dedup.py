@@ -294,7 +294,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(p.as_buffer(), HIT)["doc"]))], ["doc_id"])
 
     hits = C.cut(_joined(_fingerprints(docs, buckets, min_words), buckets, True))
-    touched = hits.select("p").mapInArrow(ids, "doc_id long")
+    touched = C.cut(hits.select("p").coalesce(C.BLOOM_PARTS).mapInArrow(ids, "doc_id long"))
 
     def extend(batches):
         held, weight = [], 0

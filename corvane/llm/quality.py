@@ -50,14 +50,14 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if len(raw) > 1:
         run[1:] = sign[1:] & sign[:-1]
     letters = share(_LOWER[raw]) + share(_UPPER[raw])
-    order = np.lexsort((w, row))
-    same = np.zeros(len(w), bool)
-    same[1:] = (w[order][1:] == w[order][:-1]) & (row[order][1:] == row[order][:-1])
-    unique = 1 - np.bincount(row[order], same, minlength=n) / np.maximum(count, 1)
-    new = np.flatnonzero(~same) if len(w) else np.zeros(0, np.int64)
+    # words by row: the row above, and as much of the hash as is left (46 bits or more) below
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    key = np.sort((row.astype(np.uint64) << (np.uint64(64) - bits)) | (w >> bits))
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(w) else np.zeros(0, np.int64)
+    of = (key[new] >> (np.uint64(64) - bits)).astype(np.int64)
+    unique = 1 - (count - np.bincount(of, minlength=n)) / np.maximum(count, 1)
     often = np.zeros(n)
-    if len(new):
-        np.maximum.at(often, row[order][new], np.diff(np.append(new, len(w))) / np.maximum(count[row[order][new]], 1))
+    np.maximum.at(often, of, np.diff(np.append(new, len(w))) / np.maximum(count[of], 1))
     mean = np.bincount(row, end - start, minlength=n) / np.maximum(count, 1)
     long = np.log2(1 + count)
     classes = [

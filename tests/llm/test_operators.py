@@ -751,3 +751,49 @@ def test_pipeline_stages_with_odd_rows(spark, odd):
     assert sort(x for x in as_pairs(P.lines(spark, docs, SF)) if x[0] is None) == sort(x for x in rows if x[0] is None and x[1] and x[1].strip())
     pieces = P.packing(spark, docs, SF)
     assert pieces.where("start = 0").count() == len(rows)
+
+
+def test_bloom_filter_is_built_in_few_jobs(spark):
+    """One job a part, one after the other, leaves a cluster idle for longer the more partitions there are."""
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63, 3000)
+    df = spark.createDataFrame([(int(k),) for k in keys] + [(None,)], "k long").repartition(40)
+    sc = spark.sparkContext
+    sc.setJobGroup("bloom", "bloom")
+    try:
+        bits = C.bloom_bits(C.bloom_of(df))
+    finally:
+        sc._jsc.sc().clearJobGroup()
+    size = 1 << C.BLOOM_LEAST
+    plain = np.zeros(size, bool)
+    for p in C._bloom_places(keys, size):
+        plain[p] = True
+    assert np.array_equal(bits, np.packbits(plain, bitorder="little"))
+    assert len(sc.statusTracker().getJobIdsForGroup("bloom")) <= 8
+    assert not C.bloom_bits(C.bloom_of(df.where("k IS NULL"))).any()
+    assert C.bloom_has(bits, keys).all()
+
+
+def test_features_count_words_as_a_plain_version_does(odd):
+    import pyarrow as pa
+
+    from corvane.llm import quality as Q
+
+    texts = [t for _, t in odd] + ["a b A c.  b a", "é É é"]
+    raw, at = C.text_buffer(pa.array(texts, pa.string()))
+    rows, hashed, _ = Q.features(raw, at)
+    n = len(texts)
+    styles = hashed[-7 * n :].reshape(7, n)
+    assert (rows[-7 * n :].reshape(7, n) == np.arange(n)).all()
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        many = max(len(words), 1)
+        unique, long = 1 - (len(words) - len(set(words))) / many, np.log2(1 + len(words))
+        often = max((words.count(w) for w in set(words)), default=0) / many
+        for k, c in ((3, min(int(unique * 10), 9) * 8 + min(int(long // 2), 7)), (4, min(int(often * 10), 9))):
+            assert styles[k, i] == int(C.mix(np.array([(k + 1 << 32) + c], np.uint64))[0] >> np.uint64(64 - Q.BITS))
+
+
+def test_distinct_is_unique():
+    for n in (0, 1, 2, 1000):
+        x = np.random.default_rng(n).integers(0, 300, n).astype(np.uint64)
+        assert np.array_equal(C.distinct(x), np.unique(x))
