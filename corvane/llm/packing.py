@@ -16,7 +16,6 @@ stretches of SOLVE tokens; the last window of a stretch is left open and solved
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +26,41 @@ from corvane.llm import common as C
 
 SENTENCE, HARD, SEQUENCE, STEP = 1, 4, 16, 16
 SOLVE = 200_000
+#: Bytes of text encoded at once.
+BLOCK = 4 << 20
 _HALVES = 2  # powers of two below the window that are tried
 
 
 def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Indexes of the places to cut at, the last one included.  `places` are positions after which a cut
     may be made, rising from above 0, never more than `window` apart."""
-    at = [0, *places.tolist()]
-    pen = [0, *penalty.tolist()]
-    n = len(at)
-    best, back = [0] * n, [0] * n
-    queue: deque[int] = deque([0])
-    # the place that lies just so far back, if there is one
+    n = len(places) + 1
     all_at = np.append(0, places)
-    powers = []
+    at, pen = all_at.tolist(), [0, *(penalty + SEQUENCE).tolist()]
+    # the places that lie just so far back, where there are any
+    powers: list[tuple] = [()] * n
     for k in range(1, _HALVES + 1):
         i = np.searchsorted(all_at, all_at - (window >> k))
-        powers.append(np.where(all_at[i] == all_at - (window >> k), i, -1).tolist())
-    lead = [0] * n  # f(i) + P(i)
+        hit = np.flatnonzero(all_at[i] == all_at - (window >> k))
+        for j, x in zip(hit.tolist(), i[hit].tolist()):
+            powers[j] += (x,)
+    best, back, lead = [0] * n, [0] * n, [0] * n  # lead: f(i) + P(i)
+    # The queue's first never leaves from behind: every later place leads by more.
+    queue, head, first, low, reach = [0], 0, 0, window, window
     for j in range(1, n):
         p = at[j]
-        while p - at[queue[0]] > window:
-            queue.popleft()
-        i = queue[0]
-        cost, back[j] = lead[i] + window - p, i
-        for exact in powers:
-            i = exact[j]
-            if i >= 0 and best[i] < cost:
-                cost, back[j] = best[i], i
-        cost += pen[j] + SEQUENCE
-        best[j], lead[j] = cost, cost + p
-        while queue and lead[queue[-1]] >= lead[j]:
+        while p > reach:
+            head += 1
+            first = queue[head]
+            low, reach = lead[first] + window, at[first] + window
+        cost, i = low - p, first
+        for x in powers[j]:
+            if best[x] < cost:
+                cost, i = best[x], x
+        best[j] = cost = cost + pen[j]
+        back[j] = i
+        lead[j] = cost = cost + p
+        while lead[queue[-1]] >= cost:
             queue.pop()
         queue.append(j)
     cuts, j = [], n - 1
@@ -69,14 +72,16 @@ def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[in
 
 def places_of(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of a stream and the penalty of a cut at each."""
-    natural = np.unique(np.concatenate([doc_ends, np.flatnonzero(ends[ids]) + 1]))
+    doc = np.zeros(len(ids), bool)
+    doc[doc_ends - 1] = True
+    natural = np.flatnonzero(ends[ids] | doc) + 1
     gaps = np.diff(natural, prepend=0)
     wide = np.flatnonzero(gaps > STEP)
     more = (gaps[wide] - 1) // STEP
     step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
     places = np.append(natural, np.repeat(natural[wide] - gaps[wide], more) + step * STEP)
     penalty = np.full(len(places), HARD, np.int64)
-    penalty[: len(natural)] = np.where(np.isin(natural, doc_ends), 0, SENTENCE)
+    penalty[: len(natural)] = np.where(doc[natural - 1], 0, SENTENCE)
     order = np.argsort(places, kind="stable")
     return places[order], penalty[order]
 
@@ -91,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
 
     Nothing is shuffled: a partition packs its own rows, so its last sequence may be short.  Null and empty
     texts are the end_id alone; a null doc_id is kept; repeated rows are packed each; other columns are
-    ignored; an empty table gives no rows.  Memory is bounded by SOLVE tokens and the longest text."""
+    ignored; an empty table gives no rows.  Memory is bounded by SOLVE tokens, BLOCK bytes and the longest text."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches):
@@ -99,17 +104,19 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
 
         coder = byte_bpe(tokenizer, ranks)
         ends = coder.sentence_ends
-        last = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        open_: list[tuple] = []  # (doc_id, start in the document, ids as bytes, tokens of the document)
+        none = np.zeros(0, np.int64)
+        # of the documents in hand: doc_id, tokens before those in hand, tokens in hand, tokens in all, ids in hand
+        open_: list[tuple] = [(pa.array([], pa.int64()), none, none, none, np.zeros(0, "<u4"))]
         weight = 0
 
         def solve(final: bool):
             nonlocal sequence, open_, weight
-            flat = b"".join(x[2] for x in open_)
-            ids = np.frombuffer(flat, "<u4")
-            doc_ends = np.cumsum([len(x[2]) // 4 for x in open_])
+            names = pa.concat_arrays([x[0] for x in open_])
+            start, size, total, ids = (np.concatenate([x[k] for x in open_]) for k in range(1, 5))
+            flat = ids.view(np.uint8).data
+            doc_ends = np.cumsum(size)
             places, penalty = places_of(ids, doc_ends, ends)
             bounds = places[cut_windows(places, penalty, window)]
             if not final:
@@ -118,39 +125,43 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
             edges = np.union1d(bounds, doc_ends[doc_ends <= done])
             begin = np.append(0, edges[:-1]) if len(edges) else edges
             which = np.searchsorted(doc_ends, begin, "right")
-            begins = np.append(0, doc_ends[:-1]) if len(doc_ends) else doc_ends
+            begins = doc_ends - size
             seq = np.searchsorted(bounds, begin, "right")
             seq_begin = np.append(0, bounds)[seq]
             columns = [
-                pa.array([open_[k][0] for k in which], pa.int64()),
-                pa.array(begin - begins[which] + np.array([open_[k][1] for k in which], np.int64), pa.int64()),
+                names.take(pa.array(which)),
+                pa.array(begin - begins[which] + start[which], pa.int64()),
                 pa.array(edges - begin, pa.int64()),
                 pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(begin.tolist(), edges.tolist())], pa.int64()),
-                pa.array([open_[k][3] for k in which], pa.int64()),
+                pa.array(total[which], pa.int64()),
                 pa.array(sequence + seq, pa.int64()),
                 pa.array(begin - seq_begin, pa.int64()),
             ]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, done), pa.int32()), pa.array(ids[:done].astype(np.int32))))
             sequence += len(bounds)
-            rest, k = [], int(np.searchsorted(doc_ends, done, "right"))
-            for d, (x, b) in enumerate(zip(open_[k:], begins[k:].tolist())):
-                skip = max(0, done - b)
-                rest.append((x[0], x[1] + skip, x[2][4 * skip :], x[3]))
-            open_, weight = rest, len(ids) - done
+            k = int(np.searchsorted(doc_ends, done, "right"))
+            skip = np.maximum(0, done - begins[k:])
+            open_, weight = [(names.slice(k), start[k:] + skip, size[k:] - skip, total[k:], ids[done:])], len(ids) - done
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
         for b in batches:
-            texts = b.column(1)
+            names, texts = b.column(0).cast(pa.int64()), b.column(1)
             _, at = C.text_buffer(texts)
-            for i, j in C.slices(at):
-                for d, ids in zip(b.column(0).slice(i, j - i).to_pylist(), coder.encode(texts.slice(i, j - i))):
-                    ids += last
-                    open_.append((d, 0, ids, len(ids) // 4))
-                    weight += len(ids) // 4
+            for i, j in C.slices(at, BLOCK):
+                ids, edge = coder.encode_flat(texts.slice(i, j - i))
+                ids = np.insert(ids, edge[1:], end_id)
+                edge = edge + np.arange(len(edge))
+                size, k = np.diff(edge), 0
+                while k < j - i:
+                    # up to the document that brings the weight over SOLVE
+                    m = min(j - i, max(k + 1, int(np.searchsorted(edge, edge[k] + SOLVE - weight, "right"))))
+                    open_.append((names.slice(i + k, m - k), np.zeros(m - k, np.int64), size[k:m], size[k:m], ids[edge[k] : edge[m]]))
+                    weight += int(edge[m] - edge[k])
+                    k = m
                     if weight > SOLVE:
                         yield solve(False)
-        if open_:
+        if weight:
             yield solve(True)
 
     return docs.select("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema)

@@ -14,12 +14,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from corvane.llm import common as C
 
 #: Units kept by a Python worker: about 100 MB; the cache starts anew when full.
 CACHE_UNITS = 500_000
+#: Units kept in Arrow arrays, which are indexed anew for each block of texts: some 10 MB.
+KNOWN_UNITS = 200_000
 _LEAD = np.zeros(256, bool)  # may begin a white-space character
 _LEAD[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _TAIL = _LEAD.copy()  # may end one
@@ -31,10 +34,10 @@ def doubled_spaces(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each row whether a blank may stand between two white-space characters or at an end."""
     if not len(raw):
         return np.zeros(len(at) - 1, bool)
-    solid = np.append(raw, 0), np.append(0, raw)
-    bad = (raw == 32) & _LEAD[solid[0][1:]] & _TAIL[solid[1][:-1]]
-    total = np.append(0, np.cumsum(bad))
-    out = total[at[1:]] > total[at[:-1]]
+    out = np.zeros(len(at) - 1, bool)
+    blank = np.flatnonzero(raw[1:-1] == 32) + 1
+    bad = blank[_LEAD[raw[blank + 1]] & _TAIL[raw[blank - 1]]]
+    out[np.searchsorted(at, bad, "right") - 1] = True
     full = np.flatnonzero(at[1:] > at[:-1])
     out[full] |= _LEAD[raw[at[full]]] | _TAIL[raw[at[full + 1] - 1]] & (raw[at[full + 1] - 1] < 128)
     return out
@@ -73,7 +76,7 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         added = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.memo = Memo(self._units)
+        self.known, self.coded = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.blank_first = np.array([x[:1] == " " for x in map(self._text, range(self.library.get_vocab_size()))], bool)
         self.ranks = None
         if ranks_path:
@@ -94,29 +97,60 @@ class ByteBpe:
             return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _units(self, units: list[str]) -> list[bytes]:
+    def _units(self, units: pa.Array) -> pa.Array:
         """All units in one text, each after its blank: a token that starts with a blank starts a unit."""
-        ids = self._plain(" " + " ".join(units))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(units)], units), pa.scalar(" ", units.type))[0].as_py()
+        ids = self._plain(" " + joined)
         cut = np.append(np.flatnonzero(self.blank_first[ids]), len(ids)) * 4
-        flat, cut = ids.tobytes(), cut.tolist()
         assert len(cut) == len(units) + 1
-        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+        return pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(cut), pa.py_buffer(ids)])
+
+    def _coded(self, units: pa.Array) -> pa.Array:
+        """The ids of distinct units; those that are not known yet are encoded and kept."""
+        at = pc.index_in(units, value_set=self.known)
+        new = units.filter(at.is_null())
+        if not len(new):
+            return self.coded.take(at)
+        both = pa.concat_arrays([self.coded, self._units(new)])
+        place = at.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), len(self.known) - 1 + np.cumsum(np.isnan(place)), place).astype(np.int64)
+        found = both.take(pa.array(place))
+        if len(both) > KNOWN_UNITS:
+            self.known, self.coded = units, found
+        else:
+            self.known, self.coded = pa.concat_arrays([self.known, new]), both
+        return found
+
+    def encode_flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and where each text's begin; nulls are empty.
+
+        Arrow tells the units apart and deals the ids of each distinct one to its places.  A text's first word
+        has no blank before it, and odd texts go whole: their ids are entries of their own behind the units'."""
+        column = column.fill_null("")
+        odd = doubled_spaces(*C.text_buffer(column))
+        for k in np.flatnonzero(pc.match_substring(column, "<").to_numpy(zero_copy_only=False)).tolist():
+            odd[k] |= self.special.search(column[k].as_py()) is not None
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        words = split.values.slice(first[0], first[-1] - first[0])
+        first -= first[0]
+        own = [self._plain(x).tobytes() if x else b"" for x in words.take(pa.array(first[:-1])).to_pylist()]
+        for k in np.flatnonzero(odd).tolist():
+            own[k] = np.array(self.library.encode(column[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        words = words.dictionary_encode()
+        units = words.dictionary.cast(pa.large_string())
+        code = words.indices.to_numpy().astype(np.int64)
+        code[first[:-1]] = np.arange(len(units), len(units) + len(own))
+        dealt = pa.concat_arrays([self._coded(units), pa.array(own, pa.large_binary())]).take(pa.array(code))
+        _, edges, data = dealt.buffers()
+        edges = np.frombuffer(edges, np.int64)[dealt.offset : dealt.offset + len(dealt) + 1] // 4
+        ids = np.frombuffer(data, "<u4")[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, "<u4")
+        return ids, edges[first] - edges[0]
 
     def encode(self, column: pa.Array) -> list[bytes]:
-        """The ids of each text of a column, as little-endian unsigned 32-bit numbers; nulls are empty."""
-        column = column.fill_null("")
-        odd = doubled_spaces(*C.text_buffer(column)).tolist()
-        texts = column.to_pylist()
-        split = [None if x or not t or "<" in t and self.special.search(t) else t.split(" ") for t, x in zip(texts, odd)]
-        self.memo.learn([s[1:] for s in split if s])
-        get = self.memo.__getitem__
-        out = []
-        for t, s in zip(texts, split):
-            if s:
-                out.append(self._plain(s[0]).tobytes() + b"".join(map(get, s[1:])))
-            else:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
-        return out
+        """The ids of each text of a column, as little-endian unsigned 32-bit numbers."""
+        ids, at = self.encode_flat(column)
+        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
 
     @functools.cached_property
     def sentence_ends(self) -> np.ndarray:

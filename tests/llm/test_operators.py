@@ -454,6 +454,72 @@ def test_encoders_equal_the_libraries():
         assert T.count_huge(t, pieces, chunk=24, overlap=4) == len(library.encode(t))
 
 
+def test_ids_need_no_string_a_word(monkeypatch):
+    import sys
+
+    import pyarrow as pa
+
+    from corvane.llm import tokens as T
+
+    bpe, held = T.ByteBpe(BPE, RANKS), []
+    plain = bpe._plain
+    monkeypatch.setattr(bpe, "_plain", lambda text: held.append(sys.getallocatedblocks()) or plain(text))
+    column = pa.array([" ".join(f"word{i % 50}" for i in range(200_000))])
+    before = sys.getallocatedblocks()
+    assert bpe.encode(column) == [plain(column[0].as_py()).tobytes()]
+    assert max(held) - before < 20_000
+
+
+@pytest.mark.parametrize("known, solve", [(200_000, 200_000), (3, 200_000), (3, 40)])
+def test_packing_in_small_steps(monkeypatch, known, solve):
+    import pyarrow as pa
+
+    from corvane.llm import packing as K
+    from corvane.llm import tokens as T
+
+    class Table:
+        """Runs what mapInArrow gets, in this process."""
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def select(self, *columns):
+            return self
+
+        sortWithinPartitions = select
+
+        def mapInArrow(self, run, schema):
+            return [x for b in run(iter(self.batches)) for x in b.to_pylist()]
+
+    r = random.Random(21)
+    words = ["a", "b.", "it's", "", "中文", "x\ny", "n\n", "\nm", "<|endoftext|>", "<b>", " ", "\xa0"]
+    texts = [None, "", " ", "a  b\n \nc", *(" ".join(r.choice(words) for _ in range(r.randint(0, 90))) for _ in range(60))]
+    ids = [None if i % 9 == 4 else i // 2 for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(T, "KNOWN_UNITS", known)
+    monkeypatch.setattr(K, "SOLVE", solve)
+    monkeypatch.setattr(K, "BLOCK", 500)
+    T.byte_bpe.cache_clear()
+    batches = [batch.slice(0, 0), batch.slice(0, 7), batch.slice(7, 30), batch.slice(37)]
+    got = K.pack(Table(batches), BPE, RANKS, window=32, with_ids=True)
+    T.byte_bpe.cache_clear()
+    library = T.ByteBpe(BPE).library
+    rows = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in zip(ids, texts)]
+    assert [x for p in got for x in p["ids"]] == [x for _, row in rows for x in row]
+    want = iter(rows)
+    for p in got:
+        if p["start"] == 0:
+            doc, row = next(want)
+        assert (p["doc_id"], p["doc_tokens"], p["ids"]) == (doc, len(row), row[p["start"] : p["start"] + p["length"]])
+        assert p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes())
+    assert next(want, None) is None
+    for _, pieces in itertools.groupby(got, key=lambda p: p["sequence_id"]):
+        pieces = list(pieces)
+        assert [p["offset"] for p in pieces] == [sum(q["length"] for q in pieces[:k]) for k in range(len(pieces))]
+        assert sum(p["length"] for p in pieces) <= 32
+    assert [p["sequence_id"] for p in got] == sorted(p["sequence_id"] for p in got)
+
+
 def test_token_counts(spark, odd):
     import sentencepiece
 
