@@ -1,15 +1,18 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Each partition indexes its own vectors, in blocks of BLOCK.  For a query with weights q, dimension d gives
-vector v the impact q_d x_d, less the least possible, so that impacts are never negative: with a positive
-weight what x_d exceeds the block's minimum by, with a negative one what it falls short of the maximum by.
-Both kinds of postings are quantised to LEVELS levels and kept in segments by level.
-
-Segments are processed by descending level.  After each, every vector's accumulator is a lower bound of its
-score, and accumulator plus what unread segments can still give is an upper bound.  A vector is a possible
-member while its upper bound reaches the k-th best lower bound (or the k-th best exact score that earlier
-blocks of the partition gave).  Processing stops when that proof leaves few possible members, or at the last
-segment; they are then rescored exactly, so where it stops never changes the result.
+Each partition indexes its own vectors, in blocks of BLOCK.  Dimension d has two inverted lists: one of what
+vectors exceed the block's minimum by, one of what they fall short of its maximum by, so impacts are never
+negative.  Both are kept in segments by LEVELS levels of how far they lie above the middle (the mean); one edge for
+all lists, so that each level has an equal share of the postings.  A vector above the middle of d is met in the first
+list, one below it in the second; the rest of a list, under its middle, never has to be read.
+
+Segments are processed by descending level.  After each, a vector's accumulator is the part of its score that has
+been read, and the unread part is at most (Cauchy and Schwarz) the length of the query times the length of what the
+vector has in unread levels.  A vector is a possible member while accumulator plus that reaches a score that k others
+have: one of earlier blocks of the partition, or, with half of the postings read, of the best accumulators, scored
+exactly.  Processing stops when that proof leaves few possible members, or at the last segment; they are then rescored
+exactly, so where it stops never changes the result.  Accumulators are floats of 32 bits, and the bound allows for
+their rounding.
 
 Scores are whole numbers.  Where they could pass 2^53, up to which floats add exactly, nothing is pruned and all
 vectors of the block are scored with integers of any size; a score beyond a long is an error.
@@ -42,59 +45,80 @@ def usable(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 class Index:
     """Inverted lists of one block: for each dimension one of what vectors exceed its minimum by, and one of what they
-    fall short of its maximum by; each a list of (vector, impact), by descending level."""
+    fall short of its maximum by; each a list of (vector, impact), by descending level, what lies under the middle last."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
-        self.low, self.high = x.min(0), x.max(0)
-        self.lists, self.rest = [], []
-        for impact in [*(x - self.low).T, *(self.high - x).T]:
+        low, high, middle = x.min(0), x.max(0), np.rint(x.mean(0))
+        off = x - middle
+        far = np.abs(off)
+        level = np.searchsorted(np.quantile(far, np.arange(1, LEVELS) / LEVELS), far, "right")
+        self.middle, self.lists = middle, []
+        self.shift = np.concatenate([middle - low, high - middle])  # of each list's impacts to its middle
+        for impact, above, lev in zip([*(x - low).T, *(high - x).T], [*off.T, *-off.T], [*level.T, *level.T]):
             vector = np.flatnonzero(impact > 0)  # what adds nothing has no posting
-            impact = impact[vector]
-            level = np.minimum((impact * (LEVELS / max(1.0, impact.max(initial=0)))).astype(np.int64), LEVELS - 1)
-            order = np.argsort(-level, kind="stable")
-            edge = np.searchsorted(-level[order], -np.arange(LEVELS - 1, -2, -1))  # of each segment, the highest first
-            self.lists.append((vector[order], impact[order], edge))
-            self.rest.append([impact[level < k].max(initial=0) for k in range(LEVELS - 1, -1, -1)])
-        self.rest = np.array(self.rest)  # the most that a posting below each level has
+            lev = np.where(above > 0, lev, -1)[vector]
+            order = np.argsort(-lev, kind="stable")
+            edge = np.searchsorted(-lev[order], -np.arange(LEVELS - 1, -3, -1))  # of each segment, the highest first
+            self.lists.append((vector[order], impact[vector][order], edge))
+        square = far * far
+        self.size = np.sqrt(square.sum(1))
+        #: The length of what each vector has below each level.
+        self.rest = np.sqrt([np.where(level < n, square, 0).sum(1) for n in range(LEVELS - 1, -1, -1)])
+        #: Postings that were added to accumulators, over all queries so far.
+        self.read = 0
 
     def search(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (scores, ids) of the block's best members; `floor`: a score that k others reach."""
-        if max(np.abs(q).max(initial=0), 1) * max(np.abs(self.x).max(initial=0), 1) * 2 * q.shape[1] >= 2**53:
+        count, width = len(self.ids), q.shape[1]
+        if max(np.abs(q).max(initial=0), 1) * max(np.abs(self.x).max(initial=0), 1) * 2 * width >= 2**53:
             whole = [[int(v) for v in x] for x in self.x.tolist()]
             scores = [[sum(a * b for a, b in zip(map(int, w), x)) for x in whole] for w in q.tolist()]
             return [self._best(np.flatnonzero(self.ids != o), np.array(s, object), k) for s, o in zip(scores, own)]
-        weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1).T  # of each list in each query
-        base = np.maximum(q, 0) @ self.low - np.maximum(-q, 0) @ self.high
+        weight = np.concatenate([q, -q], 1).T.astype(np.float32)  # of each list in each query
+        length = np.sqrt((q * q).sum(1))
+        need = floor - q @ self.middle  # what a member's accumulator reaches in the end
         live = np.arange(len(q))
-        got = np.zeros((len(self.ids), len(q)))
+        got = np.zeros((count, len(q)), np.float32)
         found: list = [None] * len(q)
-        few = max(4 * k, len(self.ids) // 100)
+        few = max(4 * k, count // 16)
         for n in range(LEVELS):
-            for (vector, impact, edge), w in zip(self.lists, weight):
+            for (vector, impact, edge), shift, w in zip(self.lists, self.shift, weight):
                 s = slice(edge[n], edge[n + 1])
-                if s.stop > s.start and w.any():
-                    got[vector[s]] += impact[s, None] * w
-            room = self.rest[:, n] @ weight
-            if len(self.ids) > k:  # one more: the query itself may be there
-                kth = np.partition(got, len(self.ids) - k - 1, axis=0)[len(self.ids) - k - 1]
-            else:
-                kth = np.full(len(live), -np.inf)
-            may = got + room >= np.maximum(kth, floor[live] - base[live])
-            stop = (may.sum(0) <= few) | (n == LEVELS - 1)
-            for i in np.flatnonzero(stop):
-                at = np.flatnonzero(may[:, i])
+                if s.stop > s.start:
+                    got[vector[s]] += (impact[s] - shift).astype(np.float32)[:, None] * w
+                    self.read += (s.stop - s.start) * len(live)
+            if n == LEVELS // 2 - 1 and count > 8 * k:
+                need = np.maximum(need, self._seeds(got, q[live], own[live], k) - q[live] @ self.middle)
+            # 32-bit floats: at most width + 4 roundings of sums that stay below size * length each
+            room = self.rest[n] * (1 + 1e-9) + (width + 4) * 2.0**-22 * self.size
+            last = n == LEVELS - 1
+            if not last and (got[::16] + np.outer(room[::16], length) >= need).mean() > 0.125:
+                continue  # too early, by a sample
+            may = got + np.outer(room, length) >= need
+            stop = (may.sum(0) <= few) | last
+            for i, row in zip(np.flatnonzero(stop), may[:, stop].T):
+                at = np.flatnonzero(row)
                 at = at[self.ids[at] != own[live[i]]]
-                score = np.zeros(len(self.ids))
+                score = np.zeros(count)
                 score[at] = self.x[at] @ q[live[i]]
                 found[live[i]] = self._best(at, score, k)
-            if stop.any():
-                live, got, weight = live[~stop], got[:, ~stop], weight[:, ~stop]
-            if not len(live):
+            if stop.all():
                 break
+            if stop.any():
+                live, got, weight, need, length = live[~stop], got[:, ~stop], weight[:, ~stop], need[~stop], length[~stop]
         return found
 
+    def _seeds(self, got: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """For each query a score that k other vectors have: of those whose accumulators are best, the k-th."""
+        top = np.argpartition(got.T, len(self.ids) - 4 * k, axis=1)[:, -4 * k :]
+        score = np.einsum("ijd,id->ij", self.x[top], q)
+        score[self.ids[top] == own[:, None]] = -np.inf
+        return np.partition(score, 3 * k, axis=1)[:, 3 * k]
+
     def _best(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if score.dtype != object and len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
         best = sorted(at.tolist(), key=lambda i: (-score[i], self.ids[i]))[:k]
         return score[best], self.ids[best]
 

@@ -742,6 +742,30 @@ def test_topk_with_unequal_lengths_and_large_values(spark, monkeypatch):
     assert sum(len(v[0]) for v in index.lists) == sum(int((y > 0).sum()) for y in (x - x.min(0), x.max(0) - x))
 
 
+def test_topk_proof_comes_before_the_last_postings():
+    """On vectors without structure each query reads under three quarters of a posting a vector and dimension, and the
+    members are those of the dense product; so they are with an outlier, few values, many ties and repeated ids."""
+    from corvane.llm import topk as K
+
+    r = np.random.default_rng(8)
+    for kind in ("normal", "outlier", "sparse", "copies", "small"):
+        x = np.floor(r.normal(0, 32, (6 if kind == "small" else 2000, 64)))
+        ids = r.permutation(len(x))
+        if kind == "outlier":
+            x[3] *= 10_000
+        elif kind == "sparse":
+            x *= r.random(x.shape) < 0.05
+        elif kind == "copies":
+            x, ids = x[r.integers(0, 50, len(x))], np.where(np.arange(len(x)) < 300, ids[0], ids)
+        q, own = x[:: len(x) // 6], ids[:: len(x) // 6]
+        want = [sorted((-s, i) for s, i in zip((x @ v).tolist(), ids.tolist()) if i != o)[:5] for v, o in zip(q, own.tolist())]
+        for floor in ([-np.inf] * len(q), [-w[4][0] for w in want]):
+            index = K.Index(ids, x)
+            found = index.search(q, own, np.array(floor), 5)
+            assert [[(-s, i) for s, i in zip(*(c.tolist() for c in f))] for f in found] == want
+            assert kind != "normal" or index.read <= 0.75 * x.size * len(q)
+
+
 def test_registered():
     from corvane.llm import queries
 
