@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,6 +197,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A frame of short lineage that is read several times: it stays on the executors' disks, and what is lost is made
+    again.  unpersist() it after its last use.  Unlike cut() it leaves no file a partition in the shared folder; on a
+    local store Spark starts processes to set each file's rights."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours in the shared folder, whatever store that is in."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

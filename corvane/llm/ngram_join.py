@@ -343,7 +343,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough, by merging the whole sets."""
+    """The pairs (x, y) whose sets are similar enough, by merging the whole sets; cut."""
     spark = docs.sparkSession
     nodes = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
     # One document stands for each set.  Only those are read again, told by a bounded filter; the few others
@@ -372,7 +372,8 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
                     rows, weight = [], 0
             yield _rows(rows, "sig ids", [pa.int64(), pa.binary()])
 
-    found = C.cut(docs.select("doc_id", "text").mapInArrow(sets, "sig long, ids binary"))
+    found = C.keep(docs.select("doc_id", "text").mapInArrow(sets, "sig long, ids binary"))
+    found.count()  # else both sides of the join below would make it at once
 
     def test(batches):
         for b in batches:
@@ -384,7 +385,9 @@ def _verify(docs: DataFrame, digest: DataFrame, pairs: DataFrame, percent: int,
             yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(found.select(F.col("sig").alias("x"), F.col("ids").alias("ids_x")), "x")
-    return left.join(found.select(F.col("sig").alias("y"), F.col("ids").alias("ids_y")), "y").mapInArrow(test, "x long, y long")
+    similar = C.cut(left.join(found.select(F.col("sig").alias("y"), F.col("ids").alias("ids_y")), "y").mapInArrow(test, "x long, y long"))
+    found.unpersist()
+    return similar
 
 
 def _met(member: DataFrame, matches: DataFrame, digest: DataFrame, percent: int) -> DataFrame:
@@ -422,13 +425,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     both = C.cut(_digest(docs, size))
     digest, sketches = both.where("hot IS NULL").select("doc_id", "n", "sig"), both.where("n > 0").select("sig", "bits")
     order = spark.sparkContext.broadcast(_frequent(both.where("hot IS NOT NULL").select("hot", "hot_n"), buckets))
-    made = C.cut(_candidates(_postings(docs, order, percent, size, buckets), percent))
+    made = C.keep(_candidates(_postings(docs, order, percent, size, buckets), percent))
 
     # Pairs that also meet in a wide list have matches that are not counted here; the wide lists find them.  A pair
     # of a wide list with a pivot waits for those too, unless what is seen here bears it out by half.
     counted = made.where("kind < 2").groupBy("x", "y").agg(F.sum(F.expr("if(kind = 0, c, 0)")).alias("c"), F.sum(F.expr("if(kind = 1, c, 0)")).alias("pivot"), F.max("l").alias("l"))
     pairs = C.cut(counted.where("c >= l OR pivot > 0 AND 2 * (c + pivot) >= l").select("x", "y"))
-    links = C.cut(_verify(docs, digest, pairs, percent, size))
+    links = _verify(docs, digest, pairs, percent, size)
     roots = C.cut(C.components(links.toDF("a", "b")))
 
     matches = made.where("kind = 0").groupBy("x", "y").agg(F.sum("c").alias("c"))
@@ -451,8 +454,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         if more.isEmpty():
             continue
         pairs = pairs.union(more)
-        links = links.union(C.cut(_verify(docs, digest, more, percent, size)))
+        links = links.union(_verify(docs, digest, more, percent, size))
         roots = C.cut(C.components(links.toDF("a", "b")))
+    made.unpersist()
 
     named = digest.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = named.withColumn("root", F.when(F.col("n") > 0, F.col("root")))

@@ -806,6 +806,24 @@ def test_pipeline_ends_in_token_ids(spark):
         assert [i for _, ids in sorted(pieces[d]) for i in ids] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_near_keeps_what_documents_give_again_out_of_the_shared_folder(spark, monkeypatch):
+    """Candidates and sets, which have a part for each split of the documents, are no files of the shared folder, and
+    nothing of them stays on the executors."""
+    from corvane.llm import common as C
+    from corvane.llm import ngram_join as J
+
+    cut, columns = C.cut, []
+    monkeypatch.setattr(C, "cut", lambda df: (columns.append(df.columns), cut(df))[1])
+    before = {*spark.sparkContext._jsc.getPersistentRDDs()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    rows += [(10_000 + i, t + " and more") for i, (_, t) in enumerate(rows[:40])]
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows) and got[10_000] != 10_000
+    assert not [c for c in columns if "ids" in c or "kind" in c] and ["x", "y"] in columns
+    cut_now = {k for k, v in dict(spark.sparkContext._jsc.getPersistentRDDs()).items() if v.getStorageLevel().useDisk() and not v.getStorageLevel().useMemory()}
+    assert cut_now <= before
+
+
 def test_near_judges_rows_that_share_an_id(spark):
     import corpus_pipeline as P
 
