@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,11 +36,12 @@ def chunk_examples(df: DataFrame, key: Column, artist: Column, names: list[str],
     return df.withColumn("messages", F.array(message("user", user), message("assistant", answer)))
 
 
-def artist_match(songs: DataFrame, artists: list[str], columns: tuple[str, ...], lyric: str) -> DataFrame:
-    """Songs with a lyric whose artist, in any of the columns, is among those wanted (case and ends apart)."""
+def artist_match(songs: DataFrame, artists: list[str], columns: tuple[str, ...], lyric: str | None = None, key: Callable[[Column], Column] = lambda c: F.lower(X.strip(c))) -> DataFrame:
+    """Songs whose artist, in any of the columns, is among those wanted (case and ends apart, or by another `key` of
+    names); with a column `lyric`, only those that have one."""
     wanted = sorted({a.lower().strip() for a in artists})
-    hit = reduce(lambda a, b: a | b, (F.coalesce(F.lower(X.strip(F.col(c))).isin(wanted), F.lit(False)) for c in columns))
-    return songs.where(hit & F.coalesce(X.strip(F.col(lyric)) != "", F.lit(False)))
+    hit = reduce(lambda a, b: a | b, (F.coalesce(key(F.col(c)).isin(wanted), F.lit(False)) for c in columns))
+    return songs.where(hit if lyric is None else hit & F.coalesce(X.strip(F.col(lyric)) != "", F.lit(False)))
 
 
 def missing_artists(songs: DataFrame, artists: DataFrame, columns: tuple[str, ...]) -> DataFrame:
