@@ -1,11 +1,13 @@
 """Turns, sessions and windows over ordered message logs.
 
 Order is the column `pos`, never the timestamp: times may tie or run backwards.  Windows are partitioned by
-`keys` (a chat, a user); with one huge log, `islands` of split_at_gaps makes such keys without one task seeing
-all rows."""
+`keys` (a chat, a user); one huge log without a key is cut into ranges of pos, and what crosses their ends is
+carried on (split_log), so that no task sees all rows, with or without gaps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +26,33 @@ def merge_consecutive(records: DataFrame, keys: list[str], gap: int = 60, sender
     w = Window.partitionBy(*keys).orderBy("pos")
     same = F.lag(F.col(sender)).over(w).eqNullSafe(F.col(sender)) & (F.col("ts") - F.lag("ts").over(w) < gap)
     marked = _island(records.withColumn("__first", F.row_number().over(w) == 1), keys, F.col("__first") | ~F.coalesce(same, F.lit(False)), "turn_no").drop("__first")
-    rest = [c for c in records.columns if c not in (*keys, "text", "ts", "pos")]
-    said = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
-    turns = marked.groupBy(*keys, "turn_no").agg(
+    return _joined(_as_turns(marked), [*keys, "turn_no"])
+
+
+def merge_consecutive_of_log(log: DataFrame, gap: int = 60, sender: str = "from") -> DataFrame:
+    """merge_consecutive of one log without keys.  A turn is put together in each range before its parts meet."""
+    same = lambda a, b: a[sender].eqNullSafe(b[sender]) & F.coalesce(b["ts"] - a["ts"] < gap, F.lit(False))
+    marked = split_log(log, lambda a, b: ~same(a, b), "ts", sender).withColumnRenamed("__island", "turn_no").drop("__before", "__size", "__start")
+    parts = _joined(_as_turns(marked), ["__range", "turn_no"]).drop("__range")
+    return _joined(parts.repartition(max(8, log.count() // RANGE + 1), "turn_no"), ["turn_no"])
+
+
+def _as_turns(records: DataFrame) -> DataFrame:
+    return records.withColumns({"end_pos": F.col("pos"), "n_merged": F.lit(1).cast("long"), "text": F.coalesce("text", F.lit(""))})
+
+
+def _joined(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """The turns of each key as one: texts in order, the last ts, the first of all other columns."""
+    rest = [c for c in turns.columns if c not in (*keys, "pos", "end_pos", "ts", "n_merged", "text")]
+    said = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return turns.groupBy(*keys).agg(
         F.min("pos").alias("pos"),
-        F.max("pos").alias("end_pos"),
+        F.max("end_pos").alias("end_pos"),
         F.max_by("ts", "pos").alias("ts"),
-        F.count("*").alias("n_merged"),
+        F.sum("n_merged").alias("n_merged"),
         F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"),
         *(F.min_by(c, "pos").alias(c) for c in rest),
     )
-    return turns
 
 
 def split_sessions(turns: DataFrame, keys: list[str], gap: int = 3600, least: int = 5) -> DataFrame:
@@ -48,26 +66,87 @@ def split_sessions(turns: DataFrame, keys: list[str], gap: int = 3600, least: in
     return out.where(F.col("session_size") >= least)
 
 
-def split_at_gaps(records: DataFrame, gap: int, slices: int) -> DataFrame:
-    """records of one huge log with a key `part`, such that no two records within `gap` of each other (in order
-    of pos) have different parts: pos is cut into `slices` ranges at approximate quantiles, each range counts
-    its gaps on its own, and what comes before its first gap joins the last part of the range before.  Only the
-    quantiles and the ranges' first and last times come to the driver.  No session crosses a part."""
-    spark = records.sparkSession
-    bounds = records.agg(F.percentile_approx("pos", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    edges = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<bigint>")
-    ranged = records.withColumn("__range", F.size(F.filter(edges, lambda b: b < F.col("pos"))))
+#: Rows of a range of a log without keys, about.
+RANGE = 50_000
+
+
+def _ranged(log: DataFrame, least: int) -> DataFrame:
+    """log with __range, rising with pos, a range RANGE rows or so (in `least` ranges at least): more rows make more
+    ranges and as many partitions, not larger ones.  The bounds are approximate quantiles, searched by halving."""
+    from pyspark.ml.feature import Bucketizer
+
+    at = F.col("pos").cast("double")
+    n = max(least, log.count() // RANGE + 1)
+    bounds = log.agg(F.percentile_approx(at, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
+    edges = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    if len(edges) == 2:
+        return log.withColumn("__range", F.lit(0))
+    cut = Bucketizer(splits=edges, inputCol="__at", outputCol="__range", handleInvalid="keep").transform(log.withColumn("__at", at))
+    return cut.withColumn("__range", F.when(at.isNull(), 0).otherwise(F.col("__range").cast("int"))).drop("__at").repartition(n, "__range")
+
+
+def split_log(log: DataFrame, new: Callable[[Column, Column], Column], *by: str, slices: int = 8) -> DataFrame:
+    """The rows of one log without keys in islands: `new` tells of the `by` columns (a struct) of the row before and of
+    a row whether the row begins one (null: it does); the first row does.  Added are __range and
+
+    * __island, from 1, in order,
+    * __before, the rows of the island in ranges before this one,
+    * __size and __start, the rows and the first pos of an island that crosses the end of a range, else null.
+
+    Each range is walked on its own; only a row a range comes to the driver, where islands are carried on."""
+    ranged = _ranged(log, slices)
     w = Window.partitionBy("__range").orderBy("pos")
-    ranged = ranged.withColumn("__gap", (F.col("ts") - F.lag("ts").over(w) > gap).cast("int")).withColumn("__n", F.coalesce(F.sum("__gap").over(w), F.lit(0)))
-    ends = ranged.groupBy("__range").agg(F.min_by("ts", "pos").alias("first"), F.max_by("ts", "pos").alias("last"), F.max("__n").alias("gaps")).orderBy("__range").collect()
-    base, offsets, last = 0, [], None
-    for r in ends:
-        if last is not None:
-            base += 1 if r["first"] - last > gap else 0
-        offsets.append((r["__range"], base))
-        base, last = base + r["gaps"], r["last"]
-    table = spark.createDataFrame(offsets or [(0, 0)], "__range int, __base long")
-    return ranged.join(F.broadcast(table), "__range").withColumn("part", F.col("__base") + F.col("__n")).drop("__range", "__gap", "__n", "__base")
+    now = F.struct(*by)
+    fresh = lambda before, x: F.coalesce(new(before, x), F.lit(True))
+    # the first row of a range is no beginning here; the walk below tells whether it is one
+    marked = ranged.withColumn("__i", F.row_number().over(w)).withColumn("__new", F.when(F.col("__i") == 1, F.lit(False)).otherwise(fresh(F.lag(now).over(w), now)))
+    ends = marked.groupBy("__range").agg(
+        F.min_by(now, "__i").alias("first"), F.max_by(now, "__i").alias("last"), F.min_by("pos", "__i").alias("pos"), F.count("*").alias("n"), F.count_if("__new").alias("gaps"),
+        F.min(F.when(F.col("__new"), F.col("__i"))).alias("gap"), F.max(F.when(F.col("__new"), F.col("__i"))).alias("tail"), F.max_by(F.when(F.col("__new"), F.col("pos")), F.when(F.col("__new"), F.col("__i"))).alias("tail_pos"),
+    )
+    before = F.lag("last").over(Window.orderBy("__range"))  # a row a range
+    walk = ends.select("__range", "pos", "n", "gaps", "gap", "tail", "tail_pos", fresh(before, F.col("first")).alias("new")).orderBy("__range").collect()
+
+    island, found, pieces = 0, {}, []
+    for k, r in enumerate(walk):
+        if k == 0 or r["new"]:
+            island += 1
+            found[island] = [r["pos"], 0, 0]
+        own = found[island]
+        pieces.append((r["__range"], island, own[1], r["gaps"]))
+        own[1] += r["gap"] - 1 if r["gaps"] else r["n"]
+        own[2] += 1
+        if r["gaps"]:
+            island += r["gaps"]
+            found[island] = [r["tail_pos"], r["n"] - r["tail"] + 1, 1]
+    whole = lambda i: (found[i][1], found[i][0]) if found[i][2] > 1 else (None, None)
+    rows = [(r, i, b, g, *whole(i), *whole(i + g)) for r, i, b, g in pieces]
+    pos = log.schema["pos"].dataType.simpleString()
+    carried = log.sparkSession.createDataFrame(rows, f"__range int, __base long, __held long, __gaps long, __hn long, __hp {pos}, __tn long, __tp {pos}")
+
+    out = marked.withColumn("__k", F.sum(F.col("__new").cast("int")).over(w)).join(F.broadcast(carried), "__range")
+    head, tail = F.col("__k") == 0, F.col("__k") == F.col("__gaps")
+    return out.select(
+        *log.columns, "__range", (F.col("__base") + F.col("__k")).alias("__island"), F.when(head, F.col("__held")).otherwise(0).alias("__before"),
+        F.when(head, F.col("__hn")).when(tail, F.col("__tn")).alias("__size"), F.when(head, F.col("__hp")).when(tail, F.col("__tp")).alias("__start"),
+    )
+
+
+def split_at_gaps(records: DataFrame, gap: int, slices: int) -> DataFrame:
+    """records of one log with a key `part`, such that no two records within `gap` of each other (in order of pos)
+    have different parts.  A log without gaps is one part: for turns and sessions take the functions of a log."""
+    near = lambda a, b: F.coalesce(b["ts"] - a["ts"] <= gap, F.lit(True))
+    return split_log(records, lambda a, b: ~near(a, b), "ts", slices=slices).select(*records.columns, F.col("__island").alias("part"))
+
+
+def split_sessions_of_log(log: DataFrame, gap: int = 3600, least: int = 5) -> DataFrame:
+    """split_sessions of one log without keys, with session_start, the first pos of the session."""
+    rows = split_log(log, lambda a, b: b["ts"] - a["ts"] > gap, "ts")
+    s = Window.partitionBy("__range", "__island")
+    return rows.select(
+        *log.columns, F.col("__island").alias("session_id"), (F.row_number().over(s.orderBy("pos")) - 1 + F.col("__before")).alias("seq"),
+        F.coalesce("__size", F.count("*").over(s)).alias("session_size"), F.coalesce("__start", F.min("pos").over(s)).alias("session_start"),
+    ).where(F.col("session_size") >= least)
 
 
 def anonymize(turns: DataFrame, session: list[str], sender: str = "from") -> DataFrame:

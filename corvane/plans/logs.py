@@ -55,12 +55,8 @@ def w1_merge_one_log(spark, sf_dir):
     SELECT session_start, seq, pos, user_id, session_size FROM n WHERE session_size >= 5"""
 )
 def w2_sessionize(spark, sf_dir):
-    parts = S.split_at_gaps(event_log(spark, sf_dir), 600, 8)
-    out = S.split_sessions(parts, ["part"], 600, 5)
-    from pyspark.sql import Window
-
-    start = F.min("pos").over(Window.partitionBy("part", "session_id"))
-    return out.select(start.alias("session_start"), F.col("seq").cast("long").alias("seq"), "pos", "user_id", "session_size")
+    out = S.split_sessions_of_log(event_log(spark, sf_dir), 600, 5)
+    return out.select("session_start", F.col("seq").cast("long").alias("seq"), "pos", "user_id", "session_size")
 
 
 _SESSIONS = (
