@@ -107,6 +107,8 @@ def win_rates(ratings: DataFrame, by: list[str]) -> DataFrame:
 
 #: Draws that one row stands for at most.
 DRAWS = 10_000
+#: Tasks that share the draws.  Their rows are few and short, so a number left open would be merged to one task.
+TASKS = 240
 
 
 def bootstrap(ratings: DataFrame, by: list[str], resamples: int = 1000, seed: str = "42", confidence: float = 0.95) -> DataFrame:
@@ -116,7 +118,7 @@ def bootstrap(ratings: DataFrame, by: list[str], resamples: int = 1000, seed: st
     won = lambda x: F.count_if(F.col("winner") == x)
     sizes = ratings.groupBy(*by).agg(F.count("*").alias("__n"), won("A").alias("__a"), F.count_if(F.col("winner") != "tie").alias("__ab"))
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(DRAWS).cast("long")))
-    drawn = sizes.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__from", block).repartition("__b", "__from")
+    drawn = sizes.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__from", block).repartition(TASKS, "__b", "__from")
     drawn = drawn.withColumn("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + DRAWS, "__n") - 1)))
     drawn = drawn.withColumn("__i", F.pmod(X.hash_number(F.concat_ws("|", F.lit(seed), "__b", "__k")), F.col("__n")))
     rates = drawn.groupBy(*by, "__b").agg((F.count_if(F.expr("__i < __a")) / F.nullif(F.count_if(F.expr("__i < __ab")), F.lit(0))).alias("rate"))

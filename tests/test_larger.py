@@ -58,3 +58,13 @@ def test_one_log_in_ranges(spark, tmp_path, monkeypatch, name, kind):
     rows = same(spark, tmp_path, name, "events", log_of(spark, kind, 3000))
     if kind == "gapless":
         assert in_one_task(registry.QUERIES[name](spark, str(tmp_path))) < len(rows) / 2
+
+
+def test_draws_are_shared_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3 % 2, int(i % 7 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    spark.sparkContext.setJobGroup("draws", "draws")
+    same(spark, tmp_path, "a11_bootstrap", "labels", rows)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(k) for j in status.getJobIdsForGroup("draws") for k in status.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) >= 100
