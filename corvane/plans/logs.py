@@ -42,9 +42,8 @@ def w1_merge_consecutive(spark, sf_dir):
     SELECT min(pos) AS pos, max(pos) AS end_pos, count(*) AS n_merged, string_agg(text, chr(10) ORDER BY pos) AS text FROM i GROUP BY turn_no"""
 )
 def w1_merge_one_log(spark, sf_dir):
-    """One log of all users: cut at gaps first, so that no task sees all of it."""
-    parts = S.split_at_gaps(event_log(spark, sf_dir), 60, 8)
-    return S.merge_consecutive(parts, ["part"], 60, "user_id").select("pos", "end_pos", "n_merged", "text")
+    """One log of all users, walked in ranges, so that no task sees all of it."""
+    return S.merge_consecutive_of_log(event_log(spark, sf_dir), 60, "user_id").select("pos", "end_pos", "n_merged", "text")
 
 
 @query(
